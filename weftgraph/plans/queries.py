@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import perkey
+from ..operators import hierarchy, orphans, perkey
 from ..session import table
 
 
@@ -23,12 +23,110 @@ def p4_summary(spark: SparkSession, d: str) -> DataFrame:
     return perkey.summary_per_key(_product_topics(spark, d), "product", "id", "built_at")
 
 
-QUERIES = {"p4_found": p4_found, "p4_summary": p4_summary}
+def references(spark: SparkSession, d: str) -> DataFrame:
+    """All references of the three referring tables."""
+    out = None
+    for name in ("topics", "maps"):
+        t = table(spark, d, name).select("id", "built_at", F.explode("links").alias("l"))
+        t = t.select(
+            F.lit(name).alias("ref_table"), F.col("id").alias("from_id"), F.col("l.relation").alias("relation"),
+            F.col("l.target_id").alias("target_id"), F.col("built_at").alias("at"),
+        )
+        out = t if out is None else out.unionByName(t)
+    e = table(spark, d, "graph_edges").select(
+        F.lit("graph_edges").alias("ref_table"), "from_id", "relation", F.col("to_id").alias("target_id"), F.col("built_at").alias("at")
+    )
+    return out.unionByName(e)
+
+
+def spans(spark: SparkSession, d: str) -> DataFrame:
+    """When each topic, map and library topic existed."""
+    cols = ("id", "added_at", "removed_at")
+    return table(spark, d, "graph_nodes").select(*cols).unionByName(table(spark, d, "library_topics").select(*cols))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    o = orphans.orphan_references(references(spark, d), spans(spark, d)).where("kind = 'direct'")
+    return o.select("ref_table", "from_id", "relation", "target_id", F.date_format("at", "yyyy-MM").alias("period")).distinct()
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return orphans.orphan_report(orphans.orphan_references(references(spark, d), spans(spark, d)))
+
+
+def publications(spark: SparkSession, d: str) -> hierarchy.Hierarchy:
+    """The hierarchy of the containment edges between nodes of the graph."""
+    ids = table(spark, d, "graph_nodes").select("id").where("id is not null").distinct()
+    e = table(spark, d, "graph_edges").where("relation = 'contains'").select("from_id", "to_id").distinct()
+    e = e.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
+    return hierarchy.build_hierarchy(e, "from_id", "to_id")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    h = publications(spark, d)
+    cyc = h.cycles.select(F.col("node").alias("node_id"), F.col("component").alias("root_id"), F.lit(-1).alias("depth"))
+    return hierarchy.node_depths(h).unionByName(cyc)
+
+
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.node_paths(publications(spark, d))
+
+
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Subtree size and height of every peeled node and every root."""
+    h = publications(spark, d)
+    return h.descendants.groupBy(F.col("node").alias("node_id")).agg(F.count(F.lit(1)).alias("n_descendants"), F.max("dist").alias("height"))
+
+
+QUERIES = {
+    "p2_found": p2_found,
+    "p2_report": p2_report,
+    "p4_found": p4_found,
+    "p4_summary": p4_summary,
+    "p5_found": p5_found,
+    "p5_paths": p5_paths,
+    "p5_descendants": p5_descendants,
+}
+
+_CONTAINS = """e AS (SELECT DISTINCT from_id AS p, to_id AS c FROM graph_edges WHERE relation = 'contains'
+            AND from_id IN (SELECT id FROM graph_nodes) AND to_id IN (SELECT id FROM graph_nodes)),
+        roots AS (SELECT DISTINCT p AS id FROM e WHERE p NOT IN (SELECT c FROM e))"""
+
+_REFS = """(SELECT DISTINCT * FROM (
+        SELECT 'topics' AS ref_table, id AS from_id, l.relation AS relation, l.target_id AS target_id, built_at AS tm
+          FROM (SELECT id, built_at, unnest(links) AS l FROM topics)
+        UNION ALL SELECT 'maps', id, l.relation, l.target_id, built_at FROM (SELECT id, built_at, unnest(links) AS l FROM maps)
+        UNION ALL SELECT 'graph_edges', from_id, relation, to_id, built_at FROM graph_edges)
+        WHERE trim(target_id, ' ') <> '')"""
+_SPANS = "(SELECT id, added_at, removed_at FROM graph_nodes UNION SELECT id, added_at, removed_at FROM library_topics)"
 
 _PRODUCT_TOPICS = """(SELECT DISTINCT lower(trim(p, ' ')) AS product, id, built_at
         FROM (SELECT id, built_at, unnest(product) AS p FROM topics) WHERE trim(p, ' ') <> '')"""
 
 ORACLE = {
+    "p5_found": f"""
+        WITH RECURSIVE {_CONTAINS},
+        w(root, node, d) AS (SELECT id, id, 0 FROM roots UNION SELECT w.root, e.c, w.d + 1 FROM w JOIN e ON e.p = w.node WHERE w.d < 60),
+        r(a, b) AS (SELECT p, c FROM e UNION SELECT r.a, e.c FROM r JOIN e ON e.p = r.b),
+        cyc AS (SELECT a FROM r WHERE a = b)
+        SELECT node AS node_id, root AS root_id, min(d)::INT AS depth FROM w GROUP BY ALL
+        UNION ALL SELECT x.a, min(x.b), -1 FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a IN (SELECT a FROM cyc) GROUP BY x.a""",
+    "p2_found": f"""
+        SELECT DISTINCT ref_table, from_id, relation, target_id, strftime(tm, '%Y-%m') AS period FROM {_REFS} r
+        WHERE NOT EXISTS (SELECT 1 FROM {_SPANS} s WHERE s.id = split_part(r.target_id, '#', 1)
+            AND s.added_at <= r.tm AND (s.removed_at IS NULL OR s.removed_at > r.tm))""",
+    "p2_report": f"""
+        WITH RECURSIVE r AS (SELECT *, split_part(target_id, '#', 1) AS base FROM {_REFS}),
+        m AS (SELECT r.*, EXISTS (SELECT 1 FROM {_SPANS} s WHERE s.id = r.base
+            AND s.added_at <= r.tm AND (s.removed_at IS NULL OR s.removed_at > r.tm)) AS sound FROM r),
+        k AS (SELECT DISTINCT from_id, base FROM m WHERE sound),
+        o(id, level) AS (SELECT DISTINCT from_id, 0 FROM m WHERE NOT sound
+            UNION SELECT k.from_id, o.level + 1 FROM o JOIN k ON k.base = o.id WHERE o.level < 12),
+        lv AS (SELECT id, min(level) AS level FROM o GROUP BY id),
+        a AS (SELECT *, 'direct' AS kind, 0 AS level FROM m WHERE NOT sound
+            UNION ALL SELECT m.*, 'inherited', lv.level + 1 FROM m JOIN lv ON lv.id = m.base WHERE sound)
+        SELECT ref_table, strftime(tm, '%Y-%m') AS period, kind, count(*) AS n_references,
+            count(DISTINCT target_id) AS n_targets, max(level) AS max_level FROM a GROUP BY ALL""",
     "p4_found": f"""
         SELECT product, id AS topic_id FROM {_PRODUCT_TOPICS}
         QUALIFY row_number() OVER (PARTITION BY product ORDER BY built_at DESC, id) <= 3""",
