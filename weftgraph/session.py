@@ -6,11 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIR: str | None = None
 _WRITTEN: list[str] = []
+_SHIPPED: set[str] = set()
 
 
 def build_session(app: str = "weftgraph", master: str | None = None, **conf) -> SparkSession:
@@ -81,5 +84,21 @@ def _drop_all() -> None:
 atexit.register(_drop_all)
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor, once a session."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="weftgraph-zip-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    atexit.register(shutil.rmtree, path.parent, ignore_errors=True)
+    _SHIPPED.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
