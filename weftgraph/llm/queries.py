@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import split
+from . import neardup, split
 
 ITEM_LIMIT, ITEM_OVERLAP = 2000, 150
 
@@ -30,9 +30,37 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces}
+def _topic_text():
+    return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("body", F.lit("")))
+
+
+def _topic_duplicates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Three words, 0.6 and 30 shingles are the values of the problem's statement."""
+    return neardup.near_duplicates(table(spark, d, "topics"), "id", _topic_text(), width=3, threshold=0.6, least=30)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.member_pairs(*_topic_duplicates(spark, d))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Class, group and number of links of every topic with enough shingles."""
+    return neardup.duplicate_groups(*_topic_duplicates(spark, d)).withColumnRenamed("id", "topic_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups}
 
 ORACLE = {
+    "p3_found": r"""
+        WITH t AS (SELECT id, any_value(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[a-z0-9]+')) AS w
+            FROM topics GROUP BY id),
+        s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g
+            FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM t)),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id HAVING count(*) >= 30),
+        k AS (SELECT s.id, s.g, n.n FROM s JOIN n USING (id)),
+        p AS (SELECT a.id AS id_a, b.id AS id_b, a.n + b.n AS total, count(*) AS c
+            FROM k a JOIN k b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+        SELECT id_a, id_b FROM p WHERE c >= 0.6 * (total - c)""",
     "p1_found": """
         SELECT DISTINCT 'topics' AS item_table, id AS item_id FROM topics WHERE length(body) > 2000
         UNION ALL SELECT DISTINCT 'chunks', id FROM chunks WHERE length(text) > 2000""",
