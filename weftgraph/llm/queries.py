@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup, split
+from . import neardup, setjoin, split
 
 ITEM_LIMIT, ITEM_OVERLAP = 2000, 150
 
@@ -48,9 +48,41 @@ def p3_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.duplicate_groups(*_topic_duplicates(spark, d)).withColumnRenamed("id", "topic_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_groups": p3_groups}
+def _similar_records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    v = setjoin.value_set("product", "audience", "topic_keys").alias("v")
+    r = table(spark, d, "topics").select("id", v).unionByName(table(spark, d, "library_topics").select("id", v))
+    return setjoin.similar_sets(r, "id", "v", threshold=0.7, least=5)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.member_pairs(*_similar_records(spark, d))
+
+
+def p6_links(spark: SparkSession, d: str) -> DataFrame:
+    """Class and number of linked classes of every record with enough values."""
+    return neardup.duplicate_groups(*_similar_records(spark, d)).withColumnRenamed("id", "record_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_pieces": p1_pieces,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
+    "p6_found": p6_found,
+    "p6_links": p6_links,
+}
 
 ORACLE = {
+    "p6_found": """
+        WITH r AS (SELECT id, unnest(product) AS x FROM topics UNION SELECT id, unnest(audience) FROM topics
+            UNION SELECT id, unnest(topic_keys) FROM topics UNION SELECT id, unnest(product) FROM library_topics
+            UNION SELECT id, unnest(audience) FROM library_topics UNION SELECT id, unnest(topic_keys) FROM library_topics),
+        s AS (SELECT DISTINCT id, lower(trim(x, ' ')) AS x FROM r WHERE trim(x, ' ') <> ''),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id HAVING count(*) >= 5),
+        k AS (SELECT s.id, s.x, n.n FROM s JOIN n USING (id)),
+        p AS (SELECT a.id AS id_a, b.id AS id_b, a.n + b.n AS total, count(*) AS c
+            FROM k a JOIN k b ON a.x = b.x AND a.id < b.id GROUP BY ALL)
+        SELECT id_a, id_b FROM p WHERE c >= 0.7 * (total - c)""",
     "p3_found": r"""
         WITH t AS (SELECT id, any_value(regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[a-z0-9]+')) AS w
             FROM topics GROUP BY id),
