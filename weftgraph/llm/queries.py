@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import neardup, setjoin, split
+from . import mix, neardup, pack, setjoin, split, tokens
 
 ITEM_LIMIT, ITEM_OVERLAP = 2000, 150
 
@@ -63,6 +63,41 @@ def p6_links(spark: SparkSession, d: str) -> DataFrame:
     return neardup.duplicate_groups(*_similar_records(spark, d)).withColumnRenamed("id", "record_id")
 
 
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """The container of every document, or piece of one, for each capacity of pack_specs."""
+    counts = tokens.token_counts(table(spark, d, "documents"), "doc_id", "text")
+    out = None
+    for r in table(spark, d, "pack_specs").orderBy("spec_name").collect():
+        p = pack.pack(counts, "doc_id", "n_tokens", r["capacity_tokens"])
+        p = p.select(F.lit(r["spec_name"]).alias("spec_name"), *p.columns)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and their fill for each capacity."""
+    size = F.sum(F.col("tok_end") - F.col("tok_start"))
+    c = p7_containers(spark, d).groupBy("spec_name", "container").agg(size.alias("used"), F.count(F.lit(1)).alias("n_items"))
+    c = c.join(F.broadcast(table(spark, d, "pack_specs")), "spec_name")
+    return c.groupBy("spec_name", "capacity_tokens").agg(
+        F.count(F.lit(1)).alias("n_containers"), F.sum("n_items").alias("n_pieces"), F.sum("used").alias("n_tokens"),
+        F.max("used").alias("fullest"), (F.sum("used") / F.sum("capacity_tokens")).alias("fill"),
+    )
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    counts = tokens.token_counts(table(spark, d, "documents"), "doc_id", "text", "source")
+    return mix.mix_sources(counts, table(spark, d, "mix_targets"))
+
+
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return _mixture(spark, d)[1]
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -70,6 +105,10 @@ QUERIES = {
     "p3_groups": p3_groups,
     "p6_found": p6_found,
     "p6_links": p6_links,
+    "p7_containers": p7_containers,
+    "p7_report": p7_report,
+    "p8_selection": p8_selection,
+    "p8_report": p8_report,
 }
 
 ORACLE = {
