@@ -4,8 +4,8 @@
    copy is looked at from then on, so a group of copies costs no more than its rows.
 2. ProbMinHash signatures of the classes; classes that agree in all registers of a band are
    candidates.
-3. Candidates whose signatures agree too seldom are dropped: the bound lies five standard
-   deviations under the threshold.
+3. A 64-bit word of one-bit registers travels with each class; candidates whose words differ in
+   too many bits part right where they meet. The radius follows from the threshold.
 4. The sets of what is left are compared exactly.
 """
 
@@ -20,10 +20,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .probminhash import bands, bytes_of, signatures
+from .probminhash import bands, radius_for, signatures, words_of
 from .shingles import blocks, mix, shingle_sets
 
-REGISTERS, BAND_ROWS, SKETCH = 200, 4, 100
+REGISTERS, BAND_ROWS = 200, 4
+WORD_MISS = 3e-4  # share of pairs at the threshold that the radius may cost
 SEEN = 50_000  # classes a task remembers, so as not to send the bands of further copies
 
 
@@ -51,9 +52,9 @@ def _sets(texts: list[str], width: int, least: int):
 
 
 def text_classes(df: DataFrame, key: str, text: Column, width: int, least: int) -> DataFrame:
-    """(id, cls, n, sketch, bands) of each text with at least ``least`` distinct shingles. Sketch and
+    """(id, cls, n, word, bands) of each text with at least ``least`` distinct shingles. Word and
     bands are null on copies that the task has seen before."""
-    schema = f"id {df.schema[key].dataType.simpleString()}, cls long, n int, sketch binary, bands array<long>"
+    schema = f"id {df.schema[key].dataType.simpleString()}, cls long, n int, word long, bands array<long>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -72,11 +73,11 @@ def text_classes(df: DataFrame, key: str, text: Column, width: int, least: int)
                 to = np.cumsum(first) - 1
                 on = first[d]
                 q = signatures(to[d[on]], h[on], int(first.sum()), REGISTERS)
-                key_of, sk = iter(bands(q, BAND_ROWS)), iter(bytes_of(q[:, :SKETCH]))
+                key_of, word = iter(bands(q, BAND_ROWS)), words_of(q)
                 yield pd.DataFrame(
                     {
                         "id": ids[at], "cls": cls, "n": n.astype(np.int32),
-                        "sketch": [next(sk).tobytes() if f else None for f in first],
+                        "word": pd.array(word[np.maximum(to, 0)], dtype="Int64") if len(word) else pd.array([None] * len(at), dtype="Int64"),
                         "bands": [next(key_of) if f else None for f in first],
                     }
                 )
@@ -84,19 +85,13 @@ def text_classes(df: DataFrame, key: str, text: Column, width: int, least: int)
     return df.select(F.col(f"`{key}`").alias("id"), text.alias("t")).where("id is not null and t is not null").mapInPandas(run, schema)
 
 
-def _bucket_pairs(b: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of different classes in a bucket, from rows (key, cls).
-
-    Nearly all buckets hold one or two classes: those are settled by one aggregation with map-side
-    combining. Only fuller buckets are joined with themselves; AQE splits them when skewed.
-    """
-    g = b.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("a"), F.max("cls").alias("b"))
-    g = cut(g.where("a <> b"))
-    two = g.where("n = 2").select("a", "b")
-    full = b.join(g.where("n > 2").select("key"), "key", "left_semi").distinct()
-    full = cut(full)
-    more = full.select("key", F.col("cls").alias("a")).join(full.select("key", F.col("cls").alias("b")), "key").where("a < b").select("a", "b")
-    return two.union(more).distinct()
+def _bucket_pairs(b: DataFrame, radius: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of different classes that meet in a bucket and whose words lie
+    within the radius, from rows (key, cls, word). Both sides of the join read one shuffle; AQE
+    splits buckets that are skewed."""
+    x, y = (b.select("key", F.col("cls").alias(c), F.col("word").alias(f"w{c}")) for c in "ab")
+    near = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= radius
+    return x.join(y, "key").where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, text: Column, width: int = 5, threshold: float = 0.8, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +100,7 @@ def near_duplicates(df: DataFrame, key: str, text: Column, width: int = 5, thres
     cls_a < cls_b, are all found pairs of classes with a Jaccard similarity of ``threshold`` or more.
 
     Two texts are near-duplicates if they are of one class or their classes are linked. A pair at
-    0.6 is missed with a probability of ``(1 - 0.6**4)**50 = 0.001``, at 0.7 of 1e-6.
+    0.6 is missed with a probability of ``(1 - 0.6**4)**50 + WORD_MISS = 0.0013``, at 0.7 of 1e-6.
 
     Null keys and null texts are left out, empty and short texts have no shingles and no class;
     rows repeated with their key count once; an empty table gives empty results. Columns other than
@@ -114,17 +109,7 @@ def near_duplicates(df: DataFrame, key: str, text: Column, width: int = 5, thres
     spark = df.sparkSession
     classes = cut(text_classes(df, key, text, width, least))
     firsts = classes.where("bands is not null")
-    pairs = cut(_bucket_pairs(firsts.select(F.explode("bands").alias("key"), "cls")))
-    release(spark)
-
-    # a cheap look at the signatures: below this the true similarity is under the threshold
-    p = threshold + (1 - threshold) / 256
-    bound = int(SKETCH * p - 5 * (SKETCH * p * (1 - p)) ** 0.5)
-    sk = firsts.groupBy("cls").agg(F.first("sketch").alias("s"), F.first("n").alias("n"))
-    x, y = (sk.select(F.col("cls").alias(c), F.col("s").alias(f"s{c}"), F.col("n").alias(f"n{c}")) for c in "ab")
-    agree = _agree(F.col("sa"), F.col("sb"))
-    fits = F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    close = cut(pairs.join(x, "a").join(y, "b").where(fits).where(agree >= bound).select("a", "b"))
+    close = cut(_bucket_pairs(firsts.select(F.explode("bands").alias("key"), "cls", "word"), radius_for(threshold, WORD_MISS)))
     release(spark)
 
     # exact sets of one text of each class that is left
@@ -141,19 +126,6 @@ def near_duplicates(df: DataFrame, key: str, text: Column, width: int = 5, thres
     return classes.select("id", "cls").distinct(), cut(exact)
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """In how many bytes two binaries of one length agree; a vectorised UDF on Arrow batches."""
-
-    @F.pandas_udf("int")
-    def f(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype="int32")
-        u, v = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (x, y))
-        return pd.Series((u == v).sum(axis=1).astype(np.int32))
-
-    return f(a, b)
-
-
 def _exact_sets(df: DataFrame, width: int, least: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -10,6 +10,8 @@ change nothing any more.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 
 from .shingles import mix
@@ -51,6 +53,17 @@ def bands(q: np.ndarray, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def bytes_of(q: np.ndarray) -> np.ndarray:
-    """One byte for each register, for a cheap estimate of the similarity of two signatures."""
-    return (mix(q.view(np.uint64).copy()) >> np.uint64(56)).astype(np.uint8)
+def words_of(q: np.ndarray) -> np.ndarray:
+    """64 bits of each signature, one of each of the first 64 registers: two words agree in a bit
+    with probability ``(1 + J) / 2``."""
+    bits = (mix(q[:, :64].copy().view(np.uint64)) >> np.uint64(63)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(">i8").astype(np.int64).ravel()
+
+
+def radius_for(threshold: float, miss: float, bits: int = 64) -> int:
+    """Least Hamming radius that a pair at the threshold exceeds with at most probability ``miss``."""
+    p, tail, r = (1 - threshold) / 2, 1.0, -1
+    while tail > miss:
+        r += 1
+        tail -= comb(bits, r) * p**r * (1 - p) ** (bits - r)
+    return r

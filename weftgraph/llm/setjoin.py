@@ -12,7 +12,7 @@ Records of equal sets form one class and are looked at once.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb, log, log1p
+from math import ceil, log, log1p
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .neardup import release
+from .probminhash import radius_for
 
 SEGMENT_BITS, WORD = 16, 64
 
@@ -38,15 +39,6 @@ def segments_for(threshold: float, miss: float, bits: int = SEGMENT_BITS) -> int
     return ceil(log(miss) / log1p(-(((1 + threshold) / 2) ** bits)))
 
 
-def radius_for(threshold: float, miss: float, bits: int = WORD) -> int:
-    """Least Hamming radius that a pair at the threshold exceeds with at most probability ``miss``."""
-    p, tail, r = (1 - threshold) / 2, 1.0, -1
-    while tail > miss:
-        r += 1
-        tail -= comb(bits, r) * p**r * (1 - p) ** (bits - r)
-    return r
-
-
 def one_bit_codes(values: np.ndarray, sizes: np.ndarray, n_bits: int, seed: int = 7) -> np.ndarray:
     """Bits (sets x n_bits) of the one-bit minhashes of sets given as hashes, one set after another."""
     rng = np.random.default_rng(seed)
@@ -73,7 +65,7 @@ def similar_sets(records: DataFrame, key: str, values: str, threshold: float = 0
     Null keys and null or too small sets take no part; repeated rows count once; an empty table
     gives empty results. Columns other than the two named are ignored.
     """
-    n_seg, radius = segments_for(threshold, miss), radius_for(threshold, miss)
+    n_seg, radius = segments_for(threshold, miss), radius_for(threshold, miss, WORD)
     r = records.select(F.col(f"`{key}`").alias("id"), F.array_sort(F.col(f"`{values}`")).alias("v"))
     r = r.where("id is not null").where(F.size("v") >= max(1, least))
     r = r.withColumn("cls", F.xxhash64("v"))
