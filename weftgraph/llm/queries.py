@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import mix, neardup, pack, setjoin, split, tokens
+from . import langid, mix, neardup, pack, setjoin, split, tokens
 
 ITEM_LIMIT, ITEM_OVERLAP = 2000, 150
 
@@ -98,6 +98,27 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return _mixture(spark, d)[1]
 
 
+def _stretches(spark: SparkSession, d: str) -> tuple[DataFrame, dict[str, str]]:
+    names = langid.label_map(table(spark, d, "languages"))
+    docs = table(spark, d, "documents")
+    model = langid.fit_on_sample(docs, "doc_id", "text", langid.label_language(F.col("lang"), names), sorted(set(names.values())))
+    return langid.identify(docs, "doc_id", "text", model), names
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    s, names = _stretches(spark, d)
+    label = langid.label_language(F.col("lang"), names)
+    labels = table(spark, d, "documents").select("doc_id", label.alias("label"))
+    s = s.withColumnRenamed("lang", "true_lang").join(labels, "doc_id")
+    case = (F.col("n_segs") > 1) | F.col("label").isNull() | (F.col("label") != F.col("true_lang"))
+    return s.where(case).select("doc_id", "seg_no", "true_lang")
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every stretch of every document with its place, language and confidence."""
+    return _stretches(spark, d)[0]
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -109,6 +130,8 @@ QUERIES = {
     "p7_report": p7_report,
     "p8_selection": p8_selection,
     "p8_report": p8_report,
+    "p9_found": p9_found,
+    "p9_segments": p9_segments,
 }
 
 ORACLE = {
