@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import hierarchy, orphans, perkey
+from ..operators import check, hierarchy, infer, lookup, orphans, perkey, resolve, reuse, search, traverse
 from ..session import table
+from . import testbed
 
 
 def _product_topics(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +79,162 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return h.descendants.groupBy(F.col("node").alias("node_id")).agg(F.count(F.lit(1)).alias("n_descendants"), F.max("dist").alias("height"))
 
 
+def _least(df: DataFrame, column: str) -> DataFrame:
+    """A table of the least value of a column, as start of a walk."""
+    return df.agg(F.min(column).alias("id"))
+
+
+def search_topics(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_topics(testbed.nodes(spark, d), "Ledger")
+
+
+def search_content(spark: SparkSession, d: str) -> DataFrame:
+    return search.search_content(testbed.chunks(spark, d), "Tenant palette tenant")
+
+
+def _first_map(spark: SparkSession, d: str) -> DataFrame:
+    return _least(table(spark, d, "maps"), "id")
+
+
+def search_content_scoped(spark: SparkSession, d: str) -> DataFrame:
+    scope = traverse.forward_reachable(testbed.edges(spark, d), _first_map(spark, d), 3)
+    return search.search_content(testbed.chunks(spark, d), "snapshot", scope)
+
+
+def find_related(spark: SparkSession, d: str) -> DataFrame:
+    """Outgoing edges of every map, with titles."""
+    return lookup.find_related(testbed.nodes(spark, d), testbed.edges(spark, d), table(spark, d, "maps").select("id"))
+
+
+def forward_reachable(spark: SparkSession, d: str) -> DataFrame:
+    return traverse.forward_reachable(testbed.edges(spark, d), _first_map(spark, d), 3)
+
+
+def trace_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    e = testbed.edges(spark, d)
+    t = traverse.trace_dependencies(e, _least(e.where("relation = 'requires'"), "src"), 3)
+    return t.select("level", "from_id", "to_id")
+
+
+def analyze_impact(spark: SparkSession, d: str) -> DataFrame:
+    e = testbed.edges(spark, d)
+    i = traverse.analyze_impact(e, _least(e.where("relation = 'requires'"), "dst"), 3)
+    c = testbed.chunks(spark, d).select("id", search.excerpt(F.col("text"), 140).alias("excerpt"))
+    return i.select("level", "id", "relation", "via").join(c, "id", "left")
+
+
+def infer_applies_to(spark: SparkSession, d: str) -> DataFrame:
+    return infer.applies_to(testbed.nodes(spark, d), testbed.edges(spark, d).where("relation <> 'applies-to'"))[0]
+
+
+def ambiguous_terms(spark: SparkSession, d: str) -> DataFrame:
+    return infer.applies_to(testbed.nodes(spark, d), testbed.edges(spark, d))[1]
+
+
+def related_counts(spark: SparkSession, d: str) -> DataFrame:
+    """For every topic the number of related-to edges it gets, no pair being made."""
+    return infer.related_counts(testbed.nodes(spark, d), testbed.edges(spark, d))
+
+
+def infer_related_to(spark: SparkSession, d: str) -> DataFrame:
+    """Related-to edges of the topics that the first map contains."""
+    of = table(spark, d, "maps").join(_first_map(spark, d), "id", "left_semi").select(F.explode("links").alias("l"))
+    of = of.select(orphans.base_id(F.col("l.target_id")).alias("id")).distinct()
+    return infer.related_to(testbed.nodes(spark, d), testbed.edges(spark, d), of)
+
+
+def contains_depth_cut(spark: SparkSession, d: str) -> DataFrame:
+    """Containment edges of all maps down to two levels."""
+    e = testbed.edges(spark, d).where("relation = 'contains'")
+    w = traverse.walk(e, table(spark, d, "maps").select("id").distinct(), 1).select(F.col("id").alias("src"))
+    return e.join(w, "src", "left_semi").select("src", "dst").distinct()
+
+
+def _topic_links(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "topics").select("id", F.posexplode("links").alias("ord", "l"))
+    return t.select(F.col("id").alias("src_path"), orphans.base_id(F.col("l.target_id")).alias("target_path"), F.col("l.relation").alias("relation"), "ord").where(F.trim("target_path") != "")
+
+
+def resolve_links(spark: SparkSession, d: str) -> DataFrame:
+    ids = testbed.nodes(spark, d).select(F.col("id").alias("path"), "id")
+    return resolve.resolve_links(_topic_links(spark, d), ids)[0].select("src", "dst", "relation", F.col("ord").cast("int").alias("ord"))
+
+
+def unresolved_links(spark: SparkSession, d: str) -> DataFrame:
+    ids = testbed.nodes(spark, d).select(F.col("id").alias("path"), "id")
+    return resolve.resolve_links(_topic_links(spark, d), ids)[1].select("subject", "message").distinct()
+
+
+def dedup_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Ids from file names: owners in order of the topics' ids."""
+    t = table(spark, d, "topics").select("id", "source_file").distinct()
+    t = t.select(resolve.file_stem(F.col("source_file")).alias("id"), F.col("source_file").alias("path"), F.col("id").alias("ord"))
+    return resolve.disambiguate(t)[0].select("id", "path", F.col("ord").alias("topic_id"))
+
+
+def generated_from(spark: SparkSession, d: str) -> DataFrame:
+    return reuse.generated_from(table(spark, d, "documents"), "doc_id", "text")
+
+
+def canonical_body(spark: SparkSession, d: str) -> DataFrame:
+    return reuse.canonical_text(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
+def text_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = lookup.text_chunks(testbed.nodes(spark, d))
+    return c.select("id", "title", "text", "topicType", F.array_join("product", "|").alias("product"), F.array_join("audience", "|").alias("audience"), "okfNode")
+
+
+def graph_view(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.graph_view(testbed.nodes(spark, d))
+
+
+def tags(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.tags(testbed.nodes(spark, d)).select("id", F.array_join("tags", "|", "").alias("tags"))
+
+
+def listed_relations(spark: SparkSession, d: str) -> DataFrame:
+    r = lookup.listed_relations(testbed.edges(spark, d)).select("id", F.explode("relations").alias("relation", "t"))
+    return r.select("id", "relation", F.array_join("t", "|").alias("targets"))
+
+
+def sections(spark: SparkSession, d: str) -> DataFrame:
+    s = lookup.sections(testbed.nodes(spark, d), testbed.edges(spark, d))
+    return s.select("id", "section", "relation", F.size("items").alias("n_items"))
+
+
+def dangling(spark: SparkSession, d: str) -> DataFrame:
+    return check.dangling(testbed.nodes(spark, d), testbed.edges(spark, d))
+
+
+def redundant_links(spark: SparkSession, d: str) -> DataFrame:
+    return check.redundant_links(testbed.edges(spark, d))
+
+
+def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
+    return check.duplicate_ids(table(spark, d, "topics").select("id").unionAll(table(spark, d, "maps").select("id")))
+
+
+def secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return check.secret_scan(table(spark, d, "documents"), "doc_id", "text")
+
+
+def suggest_id(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions for the file names of all topics, where they are no ids themselves."""
+    asked = table(spark, d, "topics").select(F.regexp_replace("source_file", "/", "-").alias("id"))
+    return lookup.suggest_ids(testbed.nodes(spark, d), asked)
+
+
+def explain(spark: SparkSession, d: str) -> DataFrame:
+    """Explanation of every task."""
+    n = testbed.nodes(spark, d)
+    return lookup.explain(n, testbed.edges(spark, d), testbed.chunks(spark, d), n.where("topic_type = 'task'").select("id"))
+
+
+def summary(spark: SparkSession, d: str) -> DataFrame:
+    return lookup.summaries(testbed.nodes(spark, d))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -86,6 +243,35 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_paths": p5_paths,
     "p5_descendants": p5_descendants,
+    "search_topics": search_topics,
+    "search_content": search_content,
+    "search_content_scoped": search_content_scoped,
+    "find_related": find_related,
+    "forward_reachable": forward_reachable,
+    "trace_dependencies": trace_dependencies,
+    "analyze_impact": analyze_impact,
+    "infer_applies_to": infer_applies_to,
+    "ambiguous_terms": ambiguous_terms,
+    "related_counts": related_counts,
+    "infer_related_to": infer_related_to,
+    "contains_depth_cut": contains_depth_cut,
+    "resolve_links": resolve_links,
+    "unresolved_links": unresolved_links,
+    "dedup_ids": dedup_ids,
+    "generated_from": generated_from,
+    "canonical_body": canonical_body,
+    "text_chunks": text_chunks,
+    "graph_view": graph_view,
+    "tags": tags,
+    "listed_relations": listed_relations,
+    "sections": sections,
+    "dangling": dangling,
+    "redundant_links": redundant_links,
+    "duplicate_ids": duplicate_ids,
+    "secret_scan": secret_scan,
+    "suggest_id": suggest_id,
+    "explain": explain,
+    "summary": summary,
 }
 
 _CONTAINS = """e AS (SELECT DISTINCT from_id AS p, to_id AS c FROM graph_edges WHERE relation = 'contains'
@@ -103,7 +289,10 @@ _SPANS = "(SELECT id, added_at, removed_at FROM graph_nodes UNION SELECT id, add
 _PRODUCT_TOPICS = """(SELECT DISTINCT lower(trim(p, ' ')) AS product, id, built_at
         FROM (SELECT id, built_at, unnest(product) AS p FROM topics) WHERE trim(p, ' ') <> '')"""
 
+from .oracle import ORACLE as _REFERENCE  # noqa: E402
+
 ORACLE = {
+    **_REFERENCE,
     "p5_found": f"""
         WITH RECURSIVE {_CONTAINS},
         w(root, node, d) AS (SELECT id, id, 0 FROM roots UNION SELECT w.root, e.c, w.d + 1 FROM w JOIN e ON e.p = w.node WHERE w.d < 60),
