@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, drop_cut, write_cut
 from .probminhash import bands, radius_for, signatures, words_of
 from .shingles import blocks, mix, shingle_sets
 
@@ -107,9 +107,13 @@ def near_duplicates(df: DataFrame, key: str, text: Column, width: int = 5, thres
     the key and those in ``text`` are ignored.
     """
     spark = df.sparkSession
-    classes = cut(text_classes(df, key, text, width, least))
-    firsts = classes.where("bands is not null")
+    found = text_classes(df, key, text, width, least)
+    path = write_cut(found)
+    found = spark.read.schema(found.schema).parquet(path)
+    firsts = found.where("bands is not null")
     close = cut(_bucket_pairs(firsts.select(F.explode("bands").alias("key"), "cls", "word"), radius_for(threshold, WORD_MISS)))
+    classes = cut(found.select("id", "cls"))
+    drop_cut(spark, path)  # the bands are not needed any more
     release(spark)
 
     # exact sets of one text of each class that is left
