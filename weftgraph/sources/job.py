@@ -21,7 +21,7 @@ CONTAINS, LINKED, REUSED, APPLIES, RELATED = range(5)
 
 def edge_order(node_ord, link_class: int, ord_):
     """Place of an edge in the whole graph: its node, its class, its place there; no global sort."""
-    return F.shiftleft(node_ord.cast("long"), 32) + F.lit(link_class) * F.lit(1 << 29) + ord_.cast("long")
+    return F.shiftleft(node_ord.cast("long"), 32) + F.lit(link_class << 29) + ord_.cast("long")
 
 
 def find_manifest(job_dir: str) -> str:
@@ -44,7 +44,9 @@ def read_manifest(spark: SparkSession, job_dir: str) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["ord", "path", "format", "src", "input"])
 
     ship(spark)
-    whole = spark.read.text(find_manifest(job_dir), wholetext=True)
+    # read here, as Spark's readers skip names with a leading dot
+    with open(find_manifest(job_dir), encoding="utf-8-sig") as f:
+        whole = spark.createDataFrame([(f.read(),)], "value string")
     return whole.mapInPandas(run, "ord long, path string, format string, src string, input boolean")
 
 
@@ -128,7 +130,7 @@ def extract(spark: SparkSession, job_dir: str, depth: int | None = None, include
 
     most = depth if depth is not None else (1 << 30)
     held = refs.where("kind = 'contains'").where(F.col("level") <= most)
-    contains, lost = resolve.resolve_containment(held.select(F.col("container").alias("src_path"), F.col("target").alias("target_path"), "ord").withColumn("src_path", F.col("src_path")), ids, map_id)
+    contains, lost = resolve.resolve_containment(held.select(F.col("container").alias("src_path"), F.col("target").alias("target_path"), "ord"), ids, map_id)
     lost = lost.withColumn("subject", F.coalesce("subject", F.lit(map_path)))
     raw = parsed.select(F.col("path").alias("src_path"), F.posexplode("links").alias("ord", "l")).select("src_path", F.col("l.target").alias("target_path"), F.col("l.relation").alias("relation"), "ord")
     links, lost_links = resolve.resolve_links(raw, ids)
