@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-SHARDS, BLOCK = 64, 1024
+SHARDS, BLOCK, EXACT = 64, 256, 1024
 
 
 def source_name(c: Column) -> Column:
@@ -101,36 +101,45 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 42, block: int
     # documents of shards without a quota can still serve to settle the difference
     state = d.select("doc_id", "source", "n_tokens", "max_repeats").join(state.select("doc_id", "times"), "doc_id", "left")
     state = cut(state.withColumn("times", F.coalesce("times", F.lit(0))))
-    selection = _settle(state, names, quota * block, block, seed).where("times > 0").select("doc_id", "source", "n_tokens", "times")
+    selection = _settle(state, names, quota * block, seed).where("times > 0").select("doc_id", "source", "n_tokens", "times")
     return selection, _report(wanted, selection)
 
 
-def _settle(state: DataFrame, names: list[str], goal: np.ndarray, block: int, seed: int) -> DataFrame:
-    """Adds or takes back single uses of documents of at most ``block`` tokens, the longest that fit
-    first, until a source is as near its goal as its documents allow."""
+def _settle(state: DataFrame, names: list[str], goal: np.ndarray, seed: int) -> DataFrame:
+    """Adds or takes back single uses, the longest that fit first, until a source is as near its goal
+    as its documents allow. Two rounds see lengths in classes an eighth of an octave wide, so that
+    what the driver holds is bounded however long documents are; the last sees the exact lengths of
+    documents of at most ``EXACT`` tokens."""
+    octave = F.floor(F.log2(F.col("n_tokens")) * 8)
+    for rnd, length in enumerate((octave, octave, F.col("n_tokens"))):
+        fits = F.col("n_tokens") <= (F.abs("gap") if rnd < 2 else F.least(F.abs("gap"), F.lit(EXACT)))
+        state = cut(_settle_round(state, names, goal, length, fits, seed + 1 + rnd))
+    return state
+
+
+def _settle_round(state: DataFrame, names: list[str], goal: np.ndarray, length: Column, fits: Column, seed: int) -> DataFrame:
     spark = state.sparkSession
     got = {r["source"]: r["n"] for r in state.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("times")).alias("n")).collect()}
     gap = {s: int(g) - int(got.get(s, 0)) for s, g in zip(names, goal.tolist())}
     gaps = spark.createDataFrame(list(gap.items()), "source string, gap long")
-    able = state.join(F.broadcast(gaps), "source").where(F.col("n_tokens") <= F.least(F.abs("gap"), F.lit(block)))
+    able = state.join(F.broadcast(gaps), "source").where(fits).withColumn("len", length.cast("long"))
     able = able.where("(gap > 0 and times < max_repeats) or (gap < 0 and times > 0)")
-    # at most targets x block rows
-    stock: dict[str, list[tuple[int, int]]] = {}
-    for r in able.groupBy("source", "n_tokens").agg(F.count(F.lit(1)).alias("c")).collect():
-        stock.setdefault(r["source"], []).append((r["n_tokens"], r["c"]))
+    stock: dict[str, list[tuple[int, int, int]]] = {}
+    for r in able.groupBy("source", "len").agg(F.count(F.lit(1)).alias("c"), F.max("n_tokens").alias("most")).collect():
+        stock.setdefault(r["source"], []).append((r["most"], r["len"], r["c"]))
     take = []
     for s, lens in stock.items():
         rest = abs(gap[s])
-        for n, c in sorted(lens, reverse=True):
-            k = min(rest // n, c)
+        for most, n, c in sorted(lens, reverse=True):
+            k = min(rest // most, c)
             if k:
                 take.append((s, n, int(k), 1 if gap[s] > 0 else -1))
-                rest -= k * n
+                rest -= k * most
     if not take:
         return state
-    taken = spark.createDataFrame(take, "source string, n_tokens long, k long, step int")
-    w = Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id")
-    chosen = able.join(F.broadcast(taken), ["source", "n_tokens"]).withColumn("rn", F.row_number().over(w)).where("rn <= k")
+    taken = spark.createDataFrame(take, "source string, len long, k long, step int")
+    w = Window.partitionBy("source", "len").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
+    chosen = able.join(F.broadcast(taken), ["source", "len"]).withColumn("rn", F.row_number().over(w)).where("rn <= k")
     return state.join(chosen.select("doc_id", "step"), "doc_id", "left").withColumn("times", F.col("times") + F.coalesce("step", F.lit(0))).drop("step")
 
 
