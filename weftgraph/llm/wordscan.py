@@ -19,7 +19,9 @@ from .shingles import _powers, mix
 _FRONT = re.compile(r"\A\ufeff?---[ \t]*\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*\r?$|\Z)", re.S | re.M)
 _ROW = re.compile(r"^[ \t]*\|.*$", re.M)
-_TAG = re.compile(r"<[!/?]?[A-Za-z][^<>]{0,400}>")
+_TAG = re.compile(r"<[!/?]?([A-Za-z][\w.-]*)[^<>]{0,400}>")
+# Tags inside a line; all others end one.
+_IN_LINE = frozenset("a abbr b cite code em i keyword kbd ph q s small span strong sub sup term tm tt u xref".split())
 _CODE_TAG = re.compile(r"<(codeblock|codeph|cmdname|parmname|option|uicontrol|menucascade|filepath|pre|code|screen)\b[^<>]*>.*?</\1>", re.S)
 _TICK = re.compile(r"`[^`\n]{1,200}`")
 _KEEP_LINES = re.compile(r"[^\n]")
@@ -31,6 +33,11 @@ def blank(text: str) -> str:
     def out(m: re.Match) -> str:
         return _KEEP_LINES.sub(" ", m[0])
 
+    def line(m: re.Match) -> str:
+        return out(m) if m[1].lower() in _IN_LINE else out(m)[:-1] + "\n"
+
+    if "<" in text:
+        text = _TAG.sub(line, _CODE_TAG.sub(out, text))
     if text[:4].lstrip("\ufeff").startswith("---"):
         text = _FRONT.sub(out, text)
     if "```" in text or "~~~" in text:
@@ -39,8 +46,6 @@ def blank(text: str) -> str:
         text = _TICK.sub(out, text)
     if "|" in text:
         text = _ROW.sub(out, text)
-    if "<" in text:
-        text = _TAG.sub(out, _CODE_TAG.sub(out, text))
     return text
 
 
