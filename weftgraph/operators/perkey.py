@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 
 def normal_value(c: Column) -> Column:
     """Spaces at both ends removed, lower case."""
@@ -40,6 +42,7 @@ def latest_per_key(df: DataFrame, key: str, item: str, at: str, k: int = 3, max_
     """
     d = df.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{item}`").alias("_i"), F.col(f"`{at}`").alias("_t"))
     d = d.where(F.col("_k").isNotNull() & F.col("_i").isNotNull())
+    ship(df.sparkSession)
 
     def top(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["_k", "_t", "_i"], ascending=[True, False, True], na_position="last", kind="mergesort")

@@ -48,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 def write_cut(df: DataFrame, *partition_by: str) -> str:
     """Write ``df`` as a table in the shared folder and return its path."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     if partition_by:

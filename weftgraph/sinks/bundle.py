@@ -2,31 +2,35 @@
 
 Nodes and edges go out as Parquet, the edges twice, clustered by either end, for point lookups in
 both directions. Files of the interchange format are written beside them: concept files by the
-tasks, one by one, the single-file documents as an ordered stream through the driver, which holds
-one partition of it at a time.
+tasks, one by one, the single-file documents as sorted parts that are then joined.
 """
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import re
 import shutil
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
+from typing import IO
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import __version__
 from ..operators import check, lookup
-from ..session import cut
+from ..session import cut, ship
 
 PRODUCER = f"weftgraph {__version__}"
 HEADINGS = {"contains": "Contains", "references": "References", "related-to": "Related To", "applies-to": "Applies To", "requires": "Requires", "generated-from": "Generated From"}
 SERVER_CONFIG = '[server]\nname = "weftgraph"\ntransport = "stdio"\n\n[graph]\nokf = "../okf"\n'
 
+_UNSAFE = r'[/\\\x00-\x1f:*?"<>|]'
 _PLAIN = re.compile(r"[A-Za-z][A-Za-z0-9 _./()-]*[A-Za-z0-9_./)]|[A-Za-z]")
 _WORDS = {"true", "false", "null", "yes", "no", "on", "off", "y", "n", "nan"}
 
@@ -38,7 +42,7 @@ def scalar(text: str) -> str:
 
 def file_name(node_id: str) -> str:
     """An id as a file name: separators and leading dots cannot leave the folder."""
-    name = re.sub(r'[/\\\x00-\x1f:*?"<>|]', "-", node_id)
+    name = re.sub(_UNSAFE, "-", node_id)
     return "_" + name if name.startswith(".") or not name else name
 
 
@@ -117,67 +121,91 @@ def _put(path: str, text: str) -> None:
         f.write(text)
 
 
+def _append_ordered(lines: DataFrame, order: list, out: IO[bytes], skip: int = 0) -> None:
+    """Sort, let the tasks write their parts, and join the parts; no row passes the interpreter.
+    ``skip`` bytes at the very start are left out."""
+    part = f"{out.name}.parts-{uuid.uuid4().hex}"
+    lines.orderBy(*order).select("line").write.text(part)
+    for name in sorted(glob.glob(os.path.join(part, "part-*"))):
+        with open(name, "rb") as f:
+            if skip and os.path.getsize(name):
+                f.seek(skip)
+                skip = 0
+            shutil.copyfileobj(f, out, 1 << 20)
+    shutil.rmtree(part)
+
+
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{\n  "nodes": [')
-        for i, r in enumerate(nodes.orderBy("node_ord", "id").select("id", "okf_type").toLocalIterator()):
-            f.write((",\n    " if i else "\n    ") + json.dumps({"id": r["id"], "type": r["okf_type"]}, ensure_ascii=False))
-        f.write('\n  ],\n  "edges": [')
-        for i, r in enumerate(edges.orderBy("edge_ord").select("src", "dst", "relation").toLocalIterator()):
-            f.write((",\n    " if i else "\n    ") + json.dumps({"from": r["src"], "to": r["dst"], "relation": r["relation"]}, ensure_ascii=False))
-        f.write("\n  ]\n}\n")
-
-
-def write_chunks(nodes: DataFrame, root: str, at: str) -> int:
-    """chunks.jsonl and metadata.json; the number of chunks."""
+    n = nodes.select("node_ord", "id", F.concat(F.lit(","), F.to_json(F.struct("id", F.col("okf_type").alias("type")))).alias("line"))
+    e = F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "relation")
+    e = edges.select("edge_ord", F.concat(F.lit(","), F.to_json(e)).alias("line"))
+    with open(path, "wb") as f:
+        f.write(b'{"nodes": [\n')
+        _append_ordered(n, ["node_ord", "id"], f, 1)
+        f.write(b'], "edges": [\n')
+        _append_ordered(e, ["edge_ord"], f, 1)
+        f.write(b"]}\n")
+
+
+def write_chunks(nodes: DataFrame, root: str, at: str, n: int) -> None:
+    """chunks.jsonl and metadata.json; ``n``: the number of topics, each of which is one chunk."""
     c = lookup.text_chunks(nodes).join(nodes.where("kind = 'topic'").select("id", "node_ord"), "id")
-    lines = c.orderBy("node_ord", "id").select(F.to_json(F.struct("id", "title", "text", "topicType", "audience", "product", "okfNode")).alias("j"))
+    line = F.to_json(F.struct("id", "title", "text", "topicType", "audience", "product", "okfNode"))
     os.makedirs(os.path.join(root, "rag"), exist_ok=True)
-    n = 0
-    with open(os.path.join(root, "rag", "chunks.jsonl"), "w", encoding="utf-8") as f:
-        for r in lines.toLocalIterator():
-            f.write(r["j"] + "\n")
-            n += 1
+    with open(os.path.join(root, "rag", "chunks.jsonl"), "wb") as f:
+        _append_ordered(c.select("node_ord", "id", line.alias("line")), ["node_ord", "id"], f)
     _put(os.path.join(root, "rag", "metadata.json"), json.dumps({"generated": {"by": PRODUCER, "at": at}, "chunkCount": n}, indent=2) + "\n")
-    return n
 
 
 def write_index(nodes: DataFrame, root: str, at: str) -> None:
     okf = os.path.join(root, "okf")
     _put(os.path.join(okf, "okf.toml"), f'okf_version = "0.2"\ngenerator = "{PRODUCER}"\noutput = "."\n')
-    with open(os.path.join(okf, "index.md"), "w", encoding="utf-8") as f:
-        f.write(f'---\nokf_version: "0.2"\n---\n\n# Knowledge bundle\n\nGenerated {at} by {PRODUCER}.\n')
+    # titles may hold line ends, file names cannot
+    name = F.regexp_replace("id", _UNSAFE, "-")
+    name = F.when(name.startswith(".") | (name == ""), F.concat(F.lit("_"), name)).otherwise(name)
+    line = F.concat(F.lit("- ["), F.regexp_replace("title", r"\s+", " "), F.lit("]("), "kind", F.lit("s/"), name, F.lit(".md)"))
+    lines = nodes.select("node_ord", "id", "kind", line.alias("line"))
+    with open(os.path.join(okf, "index.md"), "wb") as f:
+        f.write(f'---\nokf_version: "0.2"\n---\n\n# Knowledge bundle\n\nGenerated {at} by {PRODUCER}.\n'.encode())
         for kind, heading in (("map", "Maps"), ("topic", "Topics")):
-            f.write(f"\n## {heading}\n\n")
-            for r in nodes.where(F.col("kind") == kind).orderBy("node_ord", "id").select("id", "title").toLocalIterator():
-                f.write(f"- [{r['title']}]({kind}s/{file_name(r['id'])}.md)\n")
+            f.write(f"\n## {heading}\n\n".encode())
+            _append_ordered(lines.where(F.col("kind") == kind), ["node_ord", "id"], f)
 
 
 def publish(nodes: DataFrame, edges: DataFrame, root: str, graph_json: bool = True, server: bool = False, at: datetime | None = None) -> tuple[dict, DataFrame]:
     """Check the bundle, then write it. Returns (summary, findings); with an error among the findings
     nothing is written: the bundle appears in ``root`` as a whole or not at all."""
     stamp = (at or datetime.now(timezone.utc)).astimezone(timezone.utc).isoformat()
-    nodes, edges = cut(nodes), cut(edges)
-    files = cut(concepts(nodes, edges, stamp))
-    found = cut(check.findings(nodes, edges, files))
-    summary = {
-        "topics": nodes.where("kind = 'topic'").count(), "maps": nodes.where("kind = 'map'").count(), "edges": edges.count(), "chunks": 0,
-        "errors": found.where("severity = 'error'").count(),
-    }
-    if summary["errors"]:
-        return summary, found
-    stage = root.rstrip("/") + ".staging"
-    shutil.rmtree(stage, ignore_errors=True)
-    _write_files(files, os.path.join(stage, "okf"))
-    write_index(nodes, stage, stamp)
-    summary["chunks"] = write_chunks(nodes, stage, stamp)
-    if graph_json:
-        write_graph(nodes, edges, os.path.join(stage, "graph.json"))
-    nodes.write.parquet(os.path.join(stage, "tables", "nodes"))
-    for end in ("src", "dst"):
-        edges.repartitionByRange(end).sortWithinPartitions(end).write.parquet(os.path.join(stage, "tables", f"edges_by_{end}"))
-    if server:
-        _put(os.path.join(stage, "mcp", "mcp-server.toml"), SERVER_CONFIG)
+    ship(nodes.sparkSession)
+    n_seen, e_seen, f_seen = Observation(), Observation(), Observation()
+    count = F.count(F.lit(1)).alias("n")
+    # the writes depend on nothing but these tables, so they run side by side
+    with ThreadPoolExecutor(8) as pool:
+        one = pool.submit(cut, nodes.observe(n_seen, count, F.count_if(F.col("kind") == "topic").alias("topics")))
+        two = pool.submit(cut, edges.observe(e_seen, count))
+        nodes, edges = one.result(), two.result()
+        files = cut(concepts(nodes, edges, stamp))
+        found = cut(check.findings(nodes, edges, files).observe(f_seen, F.count_if(F.col("severity") == "error").alias("errors")))
+        topics = n_seen.get["topics"]
+        summary = {"topics": topics, "maps": n_seen.get["n"] - topics, "edges": e_seen.get["n"], "chunks": 0, "errors": f_seen.get["errors"]}
+        if summary["errors"]:
+            return summary, found
+        stage = root.rstrip("/") + ".staging"
+        shutil.rmtree(stage, ignore_errors=True)
+        os.makedirs(os.path.join(stage, "okf"))
+        jobs = [pool.submit(_write_files, files, os.path.join(stage, "okf")), pool.submit(write_index, nodes, stage, stamp)]
+        jobs.append(pool.submit(write_chunks, nodes, stage, stamp, topics))
+        if graph_json:
+            jobs.append(pool.submit(write_graph, nodes, edges, os.path.join(stage, "graph.json")))
+        jobs.append(pool.submit(nodes.write.parquet, os.path.join(stage, "tables", "nodes")))
+        for end in ("src", "dst"):
+            clustered = edges.repartitionByRange(end).sortWithinPartitions(end)
+            jobs.append(pool.submit(clustered.write.parquet, os.path.join(stage, "tables", f"edges_by_{end}")))
+        if server:
+            _put(os.path.join(stage, "mcp", "mcp-server.toml"), SERVER_CONFIG)
+        for j in jobs:
+            j.result()
+        summary["chunks"] = topics
     shutil.rmtree(root, ignore_errors=True)
     os.replace(stage, root)
     return summary, found
