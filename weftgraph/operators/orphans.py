@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import base_id
 from ..session import cut
 
 HOT_SHARE, SALTS = 0.01, 32
@@ -42,11 +43,6 @@ def salted(df: DataFrame, key: str, hot: list, spread: str | None) -> DataFrame:
     return df.withColumn("_salt", F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0)))))
 
 
-def base_id(target):
-    """The id a target names: what stands before the first ``#``."""
-    return F.substring_index(target, "#", 1)
-
-
 def orphan_references(refs: DataFrame, spans: DataFrame) -> DataFrame:
     """Orphan references, each with the way it is orphaned.
 

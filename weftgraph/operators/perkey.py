@@ -12,17 +12,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normal_value
 from ..session import ship
 
 
-def normal_value(c: Column) -> Column:
-    """Spaces at both ends removed, lower case."""
-    return F.lower(F.trim(c))
-
-
 def exploded_values(df: DataFrame, key_array: str, *keep: str) -> DataFrame:
     """One row per non-empty normal value of ``key_array``; ``keep`` columns come along."""
     v = F.explode(F.array_distinct(F.transform(F.col(key_array), normal_value)))

@@ -109,4 +109,8 @@ ORACLE = {
         UNION ALL SELECT e.src, CASE relation WHEN 'requires' THEN 3 WHEN 'contains' THEN 4 ELSE 5 END, e.ord, relation, coalesce(ti.title, dst) || ' (' || dst || ')'
             FROM e LEFT JOIN ti ON ti.id = dst WHERE relation IN ('requires', 'contains', 'applies-to') AND src IN (SELECT id FROM k)""",
     "summary": f"WITH {_N} SELECT id, title || ': ' || coalesce(shortdesc, '(no description available)') AS summary FROM n",
+    "index_changes": f"""WITH {_N}, {_C}, b AS (SELECT id, title, CASE WHEN shortdesc IS NULL AND body IS NULL THEN NULL
+            ELSE concat_ws(chr(10) || chr(10), shortdesc, body) END AS text FROM tp)
+        SELECT coalesce(b.id, c.id) AS id, CASE WHEN c.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'changed' END AS change
+        FROM c FULL JOIN b ON b.id = c.id WHERE c.id IS NULL OR b.id IS NULL OR c.title IS DISTINCT FROM b.title OR c.text IS DISTINCT FROM b.text""",
 }

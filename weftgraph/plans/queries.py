@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import base_id, file_stem
 from ..operators import check, hierarchy, infer, lookup, orphans, perkey, resolve, reuse, search, traverse
 from ..session import table
+from ..streaming import incremental
 from . import testbed
 
 
@@ -139,7 +141,7 @@ def related_counts(spark: SparkSession, d: str) -> DataFrame:
 def infer_related_to(spark: SparkSession, d: str) -> DataFrame:
     """Related-to edges of the topics that the first map contains."""
     of = table(spark, d, "maps").join(_first_map(spark, d), "id", "left_semi").select(F.explode("links").alias("l"))
-    of = of.select(orphans.base_id(F.col("l.target_id")).alias("id")).distinct()
+    of = of.select(base_id(F.col("l.target_id")).alias("id")).distinct()
     return infer.related_to(testbed.nodes(spark, d), testbed.edges(spark, d), of)
 
 
@@ -152,7 +154,7 @@ def contains_depth_cut(spark: SparkSession, d: str) -> DataFrame:
 
 def _topic_links(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "topics").select("id", F.posexplode("links").alias("ord", "l"))
-    return t.select(F.col("id").alias("src_path"), orphans.base_id(F.col("l.target_id")).alias("target_path"), F.col("l.relation").alias("relation"), "ord").where(F.trim("target_path") != "")
+    return t.select(F.col("id").alias("src_path"), base_id(F.col("l.target_id")).alias("target_path"), F.col("l.relation").alias("relation"), "ord").where(F.trim("target_path") != "")
 
 
 def resolve_links(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +170,7 @@ def unresolved_links(spark: SparkSession, d: str) -> DataFrame:
 def dedup_ids(spark: SparkSession, d: str) -> DataFrame:
     """Ids from file names: owners in order of the topics' ids."""
     t = table(spark, d, "topics").select("id", "source_file").distinct()
-    t = t.select(resolve.file_stem(F.col("source_file")).alias("id"), F.col("source_file").alias("path"), F.col("id").alias("ord"))
+    t = t.select(file_stem(F.col("source_file")).alias("id"), F.col("source_file").alias("path"), F.col("id").alias("ord"))
     return resolve.disambiguate(t)[0].select("id", "path", F.col("ord").alias("topic_id"))
 
 
@@ -235,6 +237,12 @@ def summary(spark: SparkSession, d: str) -> DataFrame:
     return lookup.summaries(testbed.nodes(spark, d))
 
 
+def index_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What a text index made from the topics would change in the one that was delivered."""
+    old = testbed.chunks(spark, d).select("id", "title", "text")
+    return incremental.changes(old, lookup.text_chunks(testbed.nodes(spark, d)).select("id", "title", "text"), "id")
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
@@ -272,6 +280,7 @@ QUERIES = {
     "suggest_id": suggest_id,
     "explain": explain,
     "summary": summary,
+    "index_changes": index_changes,
 }
 
 _CONTAINS = """e AS (SELECT DISTINCT from_id AS p, to_id AS c FROM graph_edges WHERE relation = 'contains'

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.orphans import base_id
+from ..functions.text import base_id
 from ..schema import display_type, strings
 from ..session import table
 
