@@ -51,7 +51,7 @@ def sainte_lague(weight: np.ndarray, total: int, cap: np.ndarray | None = None)
     return n
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 42, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 42, block: int = BLOCK, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """(selection, report).
 
     ``docs``: ``doc_id, source, n_tokens``; ``targets``: ``source, target_share, max_repeats`` (a
@@ -61,7 +61,8 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 42, block: int
     Sources are compared by :func:`source_name`. Documents of other sources, without a source or
     without tokens are never selected. A target whose source has no tokens gets nothing; the shares
     of the others keep their proportions. Repeated rows of one document count once. Empty documents
-    or targets give an empty selection. Other columns are ignored.
+    or targets give an empty selection. Other columns are ignored. ``shards``: parts in which the
+    documents of a source are put in order, one task each; raise it with the size of the corpus.
     """
     spark = docs.sparkSession
     want = {}
@@ -72,10 +73,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 42, block: int
     wanted = spark.createDataFrame([(s, *want[s]) for s in names], "source string, target_share double, max_repeats int")
     d = docs.select("doc_id", source_name(F.col("source")).alias("source"), F.col("n_tokens").cast("long")).where("n_tokens > 0 and doc_id is not null")
     d = d.join(F.broadcast(wanted.select("source", "max_repeats")), "source").dropDuplicates(["doc_id"])
-    d = cut(d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int")))
+    d = cut(d.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")))
 
-    # tokens of each source and shard: targets x SHARDS rows at most
-    have = np.zeros((len(names), SHARDS), np.int64)
+    # tokens of each source and shard: targets x shards rows at most
+    have = np.zeros((len(names), shards), np.int64)
     for r in d.groupBy("source", "shard").agg(F.sum("n_tokens").alias("n")).collect():
         have[names.index(r["source"]), r["shard"]] = r["n"]
     share = np.array([want[s][0] for s in names])

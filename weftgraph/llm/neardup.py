@@ -89,6 +89,8 @@ def _bucket_pairs(b: DataFrame, radius: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of different classes that meet in a bucket and whose words lie
     within the radius, from rows (key, cls, word). Both sides of the join read one shuffle; AQE
     splits buckets that are skewed."""
+    # a class that several tasks have met stands in a bucket once; this needs no shuffle of its own
+    b = b.repartition("key").distinct()
     x, y = (b.select("key", F.col("cls").alias(c), F.col("word").alias(f"w{c}")) for c in "ab")
     near = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= radius
     return x.join(y, "key").where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct()

@@ -89,13 +89,14 @@ def divide(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     return p.select(key, "piece_no", start.alias("tok_start"), F.least(start + c, F.col("_n")).alias("tok_end"))
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int, buckets: int = BUCKETS) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int, buckets: int = BUCKETS, spread: int = SPREAD) -> DataFrame:
     """(key, piece_no, tok_start, tok_end, container) for containers of ``capacity`` tokens.
 
     An item is divided only if it alone exceeds the capacity. Container numbers run from 0 without
     gaps. Equal input gives the equal result. An item of size 0 or null takes the room of one token;
     rows with a null key are left out; repeated rows are items of their own; an empty table gives an
-    empty result. Other columns are ignored.
+    empty result. Other columns are ignored. ``spread``: parts in which the items of a bucket are
+    ranked; a bucket that holds most items is ranked by so many tasks.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -120,10 +121,10 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, buckets: int = BU
     buckets_df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(lengths, of)], "len long, bucket int")
     slots_df = spark.createDataFrame(slots, "bucket int, lo long, hi long, each int, first long")
 
-    p = p.join(F.broadcast(buckets_df), "len").withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(SPREAD)))
+    p = p.join(F.broadcast(buckets_df), "len").withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(spread)))
     seen = p.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("c"))
     before = F.sum("c").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    seen = seen.select("bucket", "shard", F.coalesce(before, F.lit(0)).alias("before"))  # at most buckets x SPREAD rows
+    seen = seen.select("bucket", "shard", F.coalesce(before, F.lit(0)).alias("before"))  # at most buckets x spread rows
     w = Window.partitionBy("bucket", "shard").orderBy("k", "piece_no")
     p = p.withColumn("rn", F.row_number().over(w)).join(F.broadcast(seen), ["bucket", "shard"])
     p = p.withColumn("rank", F.col("before") + F.col("rn") - 1)
