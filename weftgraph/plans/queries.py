@@ -10,6 +10,7 @@ from ..operators import check, hierarchy, infer, lookup, orphans, perkey, resolv
 from ..session import table
 from ..streaming import incremental
 from . import testbed
+from .oracle import ORACLE as _REFERENCE
 
 
 def _product_topics(spark: SparkSession, d: str) -> DataFrame:
@@ -298,8 +299,6 @@ _SPANS = "(SELECT id, added_at, removed_at FROM graph_nodes UNION SELECT id, add
 _PRODUCT_TOPICS = """(SELECT DISTINCT lower(trim(p, ' ')) AS product, id, built_at
         FROM (SELECT id, built_at, unnest(product) AS p FROM topics) WHERE trim(p, ' ') <> '')"""
 
-from .oracle import ORACLE as _REFERENCE  # noqa: E402
-
 ORACLE = {
     **_REFERENCE,
     "p5_found": f"""
@@ -309,6 +308,21 @@ ORACLE = {
         cyc AS (SELECT a FROM r WHERE a = b)
         SELECT node AS node_id, root AS root_id, min(d)::INT AS depth FROM w GROUP BY ALL
         UNION ALL SELECT x.a, min(x.b), -1 FROM r x JOIN r y ON y.a = x.b AND y.b = x.a WHERE x.a IN (SELECT a FROM cyc) GROUP BY x.a""",
+    "p5_paths": f"""
+        WITH RECURSIVE {_CONTAINS},
+        x(root, node, d) AS (SELECT id, id, 0 FROM roots UNION SELECT x.root, e.c, x.d + 1 FROM x JOIN e ON e.p = x.node WHERE x.d < 60),
+        m AS (SELECT root, node, min(d) AS d FROM x GROUP BY ALL),
+        w(root, node, d, path, rev) AS (SELECT id, id, 0, id, [id] FROM roots
+            UNION ALL SELECT w.root, e.c, w.d + 1, w.path || ' > ' || e.c, list_prepend(e.c, w.rev)
+            FROM w JOIN e ON e.p = w.node JOIN m ON m.root = w.root AND m.node = e.c AND m.d = w.d + 1)
+        SELECT node AS node_id, root AS root_id, d::INT AS depth, path FROM w QUALIFY row_number() OVER (PARTITION BY root, node ORDER BY rev) = 1""",
+    "p5_descendants": f"""
+        WITH RECURSIVE {_CONTAINS},
+        w(a, b, d) AS (SELECT p, c, 1 FROM e UNION SELECT w.a, e.c, w.d + 1 FROM w JOIN e ON e.p = w.b WHERE w.d < 60),
+        m AS (SELECT a, b, min(d) AS d FROM w GROUP BY ALL), cyc AS (SELECT a FROM m WHERE a = b),
+        bad AS (SELECT a FROM m WHERE b IN (SELECT a FROM cyc) UNION SELECT a FROM cyc)
+        SELECT a AS node_id, count(*) AS n_descendants, max(d) AS height FROM m
+        WHERE a NOT IN (SELECT a FROM bad) OR a IN (SELECT id FROM roots) GROUP BY a""",
     "p2_found": f"""
         SELECT DISTINCT ref_table, from_id, relation, target_id, strftime(tm, '%Y-%m') AS period FROM {_REFS} r
         WHERE NOT EXISTS (SELECT 1 FROM {_SPANS} s WHERE s.id = split_part(r.target_id, '#', 1)
