@@ -81,7 +81,8 @@ def test_applies_to(spark, cmd, refs, links, want, warned):
     new, many = infer.applies_to(ns, edges(spark, *links))
     assert pairs(new) == want
     rows = many.collect()
-    assert len(rows) == warned and all(r["candidates"] == ", ".join(sorted(refs)) for r in rows)
+    assert len(rows) == warned and all(r["candidates"] == ", ".join(sorted(refs)) and r["n_candidates"] == 2 for r in rows)
+    assert {r["ref_id"] for r in infer.term_candidates(ns).collect()} == {i for i in refs if len(refs) > 1}
 
 
 def bfs(es, start, depth, relation=None, reverse=False):
@@ -177,7 +178,6 @@ def test_resolution_keeps_repeated_containment_only(spark):
 def test_sections_in_first_seen_order(spark):
     ns = nodes(spark, node("a"), node("b", title="B"))
     es = edges(spark, ("a", "b", "requires"), ("a", "x", "contains"), ("a", "b", "requires"))
-    got = [(r["section"], r["relation"], [(i["dst"], i["title"]) for i in r["items"]]) for r in lookup.sections(ns, es).orderBy("section").collect()]
-    assert got == [(1, "requires", [("b", "B"), ("b", "B")]), (2, "contains", [("x", "x")])]
-    rel = lookup.listed_relations(es).first()["relations"]
-    assert rel == {"contains": ["x"], "requires": ["b", "b"]}
+    got = [(r["section"], r["relation"], r["dst"], r["title"]) for r in lookup.sections(ns, es).orderBy("section", "edge_ord").collect()]
+    assert got == [(1, "requires", "b", "B"), (1, "requires", "b", "B"), (2, "contains", "x", "x")]
+    assert [(r["relation"], r["target"]) for r in lookup.listed_relations(es).orderBy("edge_ord").collect()] == [("requires", "b"), ("contains", "x"), ("requires", "b")]

@@ -20,22 +20,29 @@ def _terms(nodes: DataFrame, topic_type: str, column: str) -> DataFrame:
 
 def applies_to(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, ambiguous): ``(src, dst)`` from each task to the reference that alone uses one of the
-    control names of its commands; ``(task_id, term, candidates)`` for names that several use.
+    control names of its commands; ``(task_id, term, n_candidates, candidates)`` for names that several
+    use, candidates being the first and the last of them; :func:`term_candidates` has all.
 
     A term that several references use yields nothing, even where one of them is linked already;
     pairs that are linked in either direction get no edge. Names match exactly, case included.
     """
     use = _terms(nodes, "reference", "uicontrols")
-    owner = use.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("ref"))
+    owner = use.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("ref"), F.max("id").alias("last"))
     cmd = _terms(nodes, "task", "cmd_uicontrols")
     hit = cmd.join(owner, "term")
     pairs = hit.where("n = 1").select(F.col("id").alias("src"), F.col("ref").alias("dst")).distinct()
     pairs = pairs.withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
     new = pairs.join(connected_pairs(edges), ["lo", "hi"], "left_anti").select("src", "dst")
-    many = hit.where("n > 1").select(F.col("id").alias("task_id"), "term")
-    # candidates of a term are the same for every task: listed once a term, not once a task
-    named = use.join(owner.where("n > 1").select("term"), "term").groupBy("term").agg(F.array_sort(F.collect_set("id")).alias("c"))
-    return new, many.join(named, "term").select("task_id", "term", F.array_join("c", ", ").alias("candidates"))
+    named = F.concat("ref", F.when(F.col("n") > 2, ", ..., ").otherwise(", "), "last")
+    return new, hit.where("n > 1").select(F.col("id").alias("task_id"), "term", F.col("n").alias("n_candidates"), named.alias("candidates"))
+
+
+def term_candidates(nodes: DataFrame) -> DataFrame:
+    """(term, ref_id): all references that use a control name which several use; one row each, as the
+    candidates are the same for every task that names the term."""
+    use = _terms(nodes, "reference", "uicontrols")
+    many = use.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return use.join(many, "term", "left_semi").select("term", F.col("id").alias("ref_id"))
 
 
 def products(nodes: DataFrame) -> DataFrame:

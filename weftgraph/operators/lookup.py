@@ -67,20 +67,21 @@ def tags(nodes: DataFrame) -> DataFrame:
 
 
 def listed_relations(edges: DataFrame) -> DataFrame:
-    """(id, relations): map from each listed relation, in key order, to its targets in edge order."""
+    """(id, relation, edge_ord, target): the links that the front matter lists, one row each, so that a
+    node with most links is no single row; targets stand in the order of ``edge_ord``."""
     e = edges.where(F.col("relation").isin(*LISTED))
-    g = e.groupBy("src", "relation").agg(F.transform(F.array_sort(F.collect_list(F.struct("edge_ord", "dst"))), lambda x: x["dst"]).alias("t"))
-    m = g.groupBy(F.col("src").alias("id")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("relation", "t")))).alias("relations"))
-    return m
+    return e.select(F.col("src").alias("id"), "relation", "edge_ord", F.col("dst").alias("target"))
 
 
 def sections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, section, relation, items): links by relation, relations in the order first seen."""
+    """(id, section, relation, edge_ord, dst, title): links by relation, relations numbered in the
+    order first seen; one row a link. Only relations, six a node at most, are ever grouped."""
     t = titles(nodes).withColumnRenamed("id", "dst")
-    e = edges.join(t, "dst", "left").withColumn("title", F.coalesce("title", "dst"))
-    g = e.groupBy("src", "relation").agg(F.min("edge_ord").alias("first"), F.array_sort(F.collect_list(F.struct("edge_ord", "dst", "title"))).alias("items"))
     w = Window.partitionBy("src").orderBy("first")
-    return g.select(F.col("src").alias("id"), F.row_number().over(w).alias("section"), "relation", "items")
+    first = edges.groupBy("src", "relation").agg(F.min("edge_ord").alias("first"))
+    first = first.select("src", "relation", F.row_number().over(w).alias("section"))
+    e = edges.join(t, "dst", "left").join(first, ["src", "relation"])
+    return e.select(F.col("src").alias("id"), "section", "relation", "edge_ord", "dst", F.coalesce("title", "dst").alias("title"))
 
 
 def graph_view(nodes: DataFrame) -> DataFrame:

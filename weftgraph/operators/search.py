@@ -35,4 +35,5 @@ def search_content(chunks: DataFrame, query: str, scope: DataFrame | None = None
         (F.col("p") + 1).alias("rank"), F.col("r.id").alias("id"), F.col("r.title").alias("title"),
         (-F.col("r.m")).cast("long").alias("score"), excerpt(F.coalesce("r.text", F.lit("")), 200).alias("excerpt"),
     )
-    return rows.crossJoin(F.broadcast(hit.agg(F.count(F.lit(1)).alias("n_matches"))))
+    total = hit.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("n_matches"))
+    return rows.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one")  # one row

@@ -32,7 +32,7 @@ _LINES = """x AS (SELECT doc_id AS doc, i - 1 AS pos, a[i] AS line FROM (SELECT
             FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))),
         o AS (SELECT line, min(doc) AS owner FROM x WHERE length(line) > 20 GROUP BY line HAVING count(DISTINCT doc) > 1)"""
 _APPLY = """ref AS (SELECT DISTINCT id, t FROM (SELECT id, unnest(uic) AS t FROM tp WHERE topic_type = 'reference')),
-        own AS (SELECT t, count(*) AS n, min(id) AS ref, string_agg(id, ', ' ORDER BY id) AS candidates FROM ref GROUP BY t),
+        own AS (SELECT t, count(*) AS n, min(id) AS ref, min(id) || CASE WHEN count(*) > 2 THEN ', ..., ' ELSE ', ' END || max(id) AS candidates FROM ref GROUP BY t),
         cmd AS (SELECT DISTINCT id, t FROM (SELECT id, unnest(cmd) AS t FROM tp WHERE topic_type = 'task'))"""
 _PAIRS = "pr AS (SELECT DISTINCT least(src, dst) AS lo, greatest(src, dst) AS hi FROM e)"
 _PRODUCT = "p AS (SELECT DISTINCT id, x FROM (SELECT id, unnest(product) AS x FROM tp) WHERE x IS NOT NULL)"
@@ -59,7 +59,8 @@ ORACLE = {
             WHERE trim(to_id, ' ') <> '' AND relation <> 'applies-to'), {_APPLY}
         SELECT DISTINCT cmd.id AS src, own.ref AS dst FROM cmd JOIN own USING (t) WHERE n = 1
             AND NOT EXISTS (SELECT 1 FROM e0 WHERE (src = cmd.id AND dst = own.ref) OR (dst = cmd.id AND src = own.ref))""",
-    "ambiguous_terms": f"WITH {_N}, {_APPLY} SELECT cmd.id AS task_id, t AS term, candidates FROM cmd JOIN own USING (t) WHERE n > 1",
+    "ambiguous_terms": f"WITH {_N}, {_APPLY} SELECT cmd.id AS task_id, t AS term, n AS n_candidates, candidates FROM cmd JOIN own USING (t) WHERE n > 1",
+    "term_candidates": f"WITH {_N}, {_APPLY} SELECT t AS term, id AS ref_id FROM ref JOIN own USING (t) WHERE n > 1",
     "related_counts": f"""WITH {_N}, {_E}, {_PAIRS}, {_PRODUCT},
         q AS (SELECT DISTINCT a.id AS a, b.id AS b FROM p a JOIN p b ON a.x = b.x AND a.id <> b.id)
         SELECT i.id, count(q.a) AS n_related FROM (SELECT DISTINCT id FROM p) i
@@ -90,9 +91,11 @@ ORACLE = {
         FROM tp JOIN n ON n.id = tp.id AND n.ord = 1""",
     "graph_view": f'WITH {_N} SELECT id, okf_type AS "type" FROM n',
     "tags": f"WITH {_N} SELECT id, array_to_string(list_transform(audience || product || keys, lambda x: coalesce(x, '')), '|') AS tags FROM tp",
-    "listed_relations": f"WITH {_E} SELECT src AS id, relation, string_agg(dst, '|' ORDER BY ord) AS targets FROM e WHERE relation IN ('contains', 'applies-to', 'requires') GROUP BY ALL",
-    "sections": f"""WITH {_E}, g AS (SELECT src AS id, relation, min(ord) AS first, count(*)::INT AS n_items FROM e GROUP BY ALL)
-        SELECT id, row_number() OVER (PARTITION BY id ORDER BY first)::INT AS section, relation, n_items FROM g""",
+    "listed_relations": f"WITH {_E} SELECT src AS id, relation, ord AS edge_ord, dst AS target FROM e WHERE relation IN ('contains', 'applies-to', 'requires')",
+    "sections": f"""WITH {_N}, {_E}, g AS (SELECT src, relation, min(ord) AS first FROM e GROUP BY ALL),
+        k AS (SELECT src, relation, row_number() OVER (PARTITION BY src ORDER BY first)::INT AS section FROM g)
+        SELECT e.src AS id, section, e.relation, e.ord AS edge_ord, dst, coalesce(ti.title, dst) AS title
+        FROM e JOIN k USING (src, relation) LEFT JOIN ti ON ti.id = dst""",
     "dangling": f"WITH {_N}, {_E} SELECT DISTINCT src, relation, dst FROM e WHERE dst NOT IN (SELECT id FROM n)",
     "redundant_links": f"WITH {_E} SELECT src, dst, count(*) AS n FROM e GROUP BY ALL HAVING count(*) > 1",
     "duplicate_ids": "SELECT id, count(*) AS n FROM (SELECT id FROM topics UNION ALL SELECT id FROM maps) GROUP BY id HAVING count(*) > 1",

@@ -134,6 +134,10 @@ def ambiguous_terms(spark: SparkSession, d: str) -> DataFrame:
     return infer.applies_to(testbed.nodes(spark, d), testbed.edges(spark, d))[1]
 
 
+def term_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return infer.term_candidates(testbed.nodes(spark, d))
+
+
 def related_counts(spark: SparkSession, d: str) -> DataFrame:
     """For every topic the number of related-to edges it gets, no pair being made."""
     return infer.related_counts(testbed.nodes(spark, d), testbed.edges(spark, d))
@@ -197,13 +201,11 @@ def tags(spark: SparkSession, d: str) -> DataFrame:
 
 
 def listed_relations(spark: SparkSession, d: str) -> DataFrame:
-    r = lookup.listed_relations(testbed.edges(spark, d)).select("id", F.explode("relations").alias("relation", "t"))
-    return r.select("id", "relation", F.array_join("t", "|").alias("targets"))
+    return lookup.listed_relations(testbed.edges(spark, d))
 
 
 def sections(spark: SparkSession, d: str) -> DataFrame:
-    s = lookup.sections(testbed.nodes(spark, d), testbed.edges(spark, d))
-    return s.select("id", "section", "relation", F.size("items").alias("n_items"))
+    return lookup.sections(testbed.nodes(spark, d), testbed.edges(spark, d))
 
 
 def dangling(spark: SparkSession, d: str) -> DataFrame:
@@ -261,6 +263,7 @@ QUERIES = {
     "analyze_impact": analyze_impact,
     "infer_applies_to": infer_applies_to,
     "ambiguous_terms": ambiguous_terms,
+    "term_candidates": term_candidates,
     "related_counts": related_counts,
     "infer_related_to": infer_related_to,
     "contains_depth_cut": contains_depth_cut,
