@@ -129,6 +129,15 @@ def check_hierarchy(spark, pairs):
     return h, r
 
 
+def test_descendants_of_residual_nodes(spark):
+    pairs = [("r", "a"), ("a", "b"), ("b", "c"), ("c", "b"), ("c", "x"), ("x", "y"), ("o", "o"), ("k", "l"), ("l", "k")]
+    h, r = check_hierarchy(spark, pairs)
+    got = [(x["node"], x["desc"], x["dist"]) for x in h.descendants.collect()]
+    assert sorted(got) == sorted((n, d, k) for n in r for d, k in r[n].items())
+    few = hierarchy.build_hierarchy(spark.createDataFrame(pairs, "p string, c string"), "p", "c", roots_only=True)
+    assert {x["node"] for x in few.descendants.where("peel_round < 0").collect()} == {"r"}
+
+
 def test_hierarchy_random(spark):
     rng = random.Random(5)
     pairs = [(f"n{rng.randrange(30):02}", f"n{rng.randrange(30):02}") for _ in range(38)]

@@ -3,8 +3,8 @@
 Round by round the nodes all of whose children are done are peeled off; each hands its parents the
 list of its descendants with distances, as rows, so that no list has to fit into a task. A parent
 is done when no child is open any more; it then merges its children's lists by the least distance.
-Peeling stops at nodes that stand on cycles or above them. That residue is then searched from its
-roots level by level, and what its nodes heard from peeled children is added at the end. The nodes
+Peeling stops at nodes that stand on cycles or above them. That residue is then searched from each
+of its nodes level by level, and what its nodes heard from peeled children is added at the end. The nodes
 on cycles are found in the residue by colouring: the least id is handed down to the fixpoint, and
 the nodes of a colour from which the colour's own node can be reached form one strong component.
 
@@ -24,7 +24,7 @@ from ..session import cut, write_cut
 @dataclass
 class Hierarchy:
     """``edges``: distinct (parent, child). ``descendants``: (node, desc, dist, peel_round) for all
-    peeled nodes, and for residual roots (peel_round -1). ``cycles``: (node, component)."""
+    nodes with a child, peel_round being -1 for residual ones. ``cycles``: (node, component)."""
 
     edges: DataFrame
     descendants: DataFrame
@@ -36,25 +36,26 @@ def _all(spark: SparkSession, paths: list[str], schema) -> DataFrame:
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def build_hierarchy(edges: DataFrame, parent: str, child: str) -> Hierarchy:
+def build_hierarchy(edges: DataFrame, parent: str, child: str, roots_only: bool = False) -> Hierarchy:
     """Descendants, roots and cycles of the graph of distinct (parent, child) pairs.
 
     Pairs with a null end are left out, repeated pairs count once, a self-pair is a cycle of one
     node. A node with several parents is a descendant of each; distances are least numbers of steps.
-    A root has a child and no parent; a residual node that is no root gets no descendant list of its
-    own. An empty input gives empty tables. Other columns are ignored.
+    A root has a child and no parent; a node on a cycle is a descendant of itself. With ``roots_only``
+    residual nodes that are no roots get no list, which is enough for depths and paths from the roots.
+    An empty input gives empty tables. Other columns are ignored.
     """
     spark = edges.sparkSession
     e = edges.select(F.col(f"`{parent}`").alias("p"), F.col(f"`{child}`").alias("c")).dropna().distinct()
     e = cut(e)
     wide = e.repartition("c").persist()
     try:
-        return _peel(spark, e, wide)
+        return _peel(spark, e, wide, roots_only)
     finally:
         wide.unpersist()
 
 
-def _peel(spark: SparkSession, e: DataFrame, wide: DataFrame) -> Hierarchy:
+def _peel(spark: SparkSession, e: DataFrame, wide: DataFrame, roots_only: bool) -> Hierarchy:
     list_schema, state_schema = "node string, desc string, dist int, peel_round int", "node string, open long, peel_round int"
 
     # the order of peeling: round by round the counts of children still open go down
@@ -90,13 +91,17 @@ def _peel(spark: SparkSession, e: DataFrame, wide: DataFrame) -> Hierarchy:
 
     rest = cut(e.join(done, e.p == done.node, "left_anti"))
     inner = cut(rest.join(done, rest.c == done.node, "left_anti"))
-    walked = _walk(inner, roots.join(rest.select(F.col("p").alias("node")).distinct(), "node", "left_semi"))
+    starts = rest.select(F.col("p").alias("node")).distinct()
+    walked = _walk(inner, starts.join(roots, "node", "left_semi") if roots_only else starts)
     # below a residual node: its peeled children and their lists
     outer = rest.join(done, rest.c == done.node, "left_semi")
     heard = lists.select(F.col("node").alias("c"), "desc", (F.col("dist") + 1).alias("far"))
     heard = outer.select("p", F.col("c").alias("desc"), F.lit(1).alias("far")).unionByName(outer.join(heard, "c").select("p", "desc", "far"))
     below = walked.join(heard, walked.node == heard.p).select("root", "desc", (F.col("dist") + F.col("far")).alias("dist"))
     found = walked.where("dist > 0").select("root", F.col("node").alias("desc"), "dist").unionByName(below)
+    if not roots_only:  # the walk has its start at 0 only; on a cycle it comes back to it
+        back = inner.select(F.col("p").alias("node"), F.col("c").alias("root"))
+        found = found.unionByName(walked.join(back, ["root", "node"]).select("root", F.col("root").alias("desc"), (F.col("dist") + 1).alias("dist")))
     found = found.groupBy(F.col("root").alias("node"), "desc").agg(F.min("dist").cast("int").alias("dist")).withColumn("peel_round", F.lit(-1))
     return Hierarchy(e, lists.unionByName(cut(found)), cut(roots), _components(inner))
 

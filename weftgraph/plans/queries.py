@@ -58,30 +58,35 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(orphans.orphan_references(references(spark, d), spans(spark, d)))
 
 
-def publications(spark: SparkSession, d: str) -> hierarchy.Hierarchy:
+def publications(spark: SparkSession, d: str, roots_only: bool = False) -> hierarchy.Hierarchy:
     """The hierarchy of the containment edges between nodes of the graph."""
     ids = table(spark, d, "graph_nodes").select("id").where("id is not null").distinct()
     e = table(spark, d, "graph_edges").where("relation = 'contains'").select("from_id", "to_id").distinct()
     e = e.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-    return hierarchy.build_hierarchy(e, "from_id", "to_id")
+    return hierarchy.build_hierarchy(e, "from_id", "to_id", roots_only)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    h = publications(spark, d)
+    h = publications(spark, d, roots_only=True)
     cyc = h.cycles.select(F.col("node").alias("node_id"), F.col("component").alias("root_id"), F.lit(-1).alias("depth"))
     return hierarchy.node_depths(h).unionByName(cyc)
 
 
 def p5_paths(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.node_paths(publications(spark, d))
+    return hierarchy.node_paths(publications(spark, d, roots_only=True))
 
 
 def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Subtree size and height of every peeled node and every root."""
+    """Subtree size and height of every node that contains something."""
     h = publications(spark, d)
     return h.descendants.groupBy(F.col("node").alias("node_id")).agg(F.count(F.lit(1)).alias("n_descendants"), F.max("dist").alias("height"))
 
 
+def p5_descendant_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The descendants themselves with their least distances, for every node that contains something."""
+    return publications(spark, d).descendants.select(F.col("node").alias("node_id"), F.col("desc").alias("descendant_id"), "dist")
+
+
 def _least(df: DataFrame, column: str) -> DataFrame:
     """A table of the least value of a column, as start of a walk."""
     return df.agg(F.min(column).alias("id"))
@@ -254,6 +259,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_paths": p5_paths,
     "p5_descendants": p5_descendants,
+    "p5_descendant_rows": p5_descendant_rows,
     "search_topics": search_topics,
     "search_content": search_content,
     "search_content_scoped": search_content_scoped,
@@ -326,6 +332,10 @@ ORACLE = {
         bad AS (SELECT a FROM m WHERE b IN (SELECT a FROM cyc) UNION SELECT a FROM cyc)
         SELECT a AS node_id, count(*) AS n_descendants, max(d) AS height FROM m
         WHERE a NOT IN (SELECT a FROM bad) OR a IN (SELECT id FROM roots) GROUP BY a""",
+    "p5_descendant_rows": f"""
+        WITH RECURSIVE {_CONTAINS},
+        w(a, b, d) AS (SELECT p, c, 1 FROM e UNION SELECT w.a, e.c, w.d + 1 FROM w JOIN e ON e.p = w.b WHERE w.d < 60)
+        SELECT a AS node_id, b AS descendant_id, min(d)::INT AS dist FROM w GROUP BY ALL""",
     "p2_found": f"""
         SELECT DISTINCT ref_table, from_id, relation, target_id, strftime(tm, '%Y-%m') AS period FROM {_REFS} r
         WHERE NOT EXISTS (SELECT 1 FROM {_SPANS} s WHERE s.id = split_part(r.target_id, '#', 1)
