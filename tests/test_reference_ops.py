@@ -62,6 +62,20 @@ def test_related_counts_with_large_sets(spark):
     assert {k: v for k, v in got.items() if v} == want
 
 
+def test_related_classes_hold_the_whole_relation(spark):
+    rng = random.Random(6)
+    ns = nodes(spark, *[node(f"t{i:02}", product=rng.choices("abcdefg", k=rng.randrange(0, 4))) for i in range(30)], node("m", kind="map", product=["a"]))
+    es = edges(spark, *[(f"t{rng.randrange(30):02}", f"t{rng.randrange(30):02}", "requires") for _ in range(40)], ("m", "t01", "contains"))
+    members = {}
+    for r in infer.related_members(ns).collect():
+        members.setdefault(r["class"], []).append(r["id"])
+    links = [tuple(r) for r in infer.related_classes(ns).collect()]
+    out = {tuple(r) for r in infer.related_exceptions(ns, es).collect()}
+    got = {(x, y) for a, b in links for x in members[a] for y in members[b] if x != y and (min(x, y), max(x, y)) not in out}
+    assert len(links) == len(set(links)) and any(len(m) > 1 for m in members.values()) and out
+    assert got | {(y, x) for x, y in got} == pairs(infer.related_to(ns, es))
+
+
 @pytest.mark.parametrize(
     "cmd, refs, links, want, warned",
     [

@@ -67,6 +67,37 @@ def related_to(nodes: DataFrame, edges: DataFrame, of: DataFrame | None = None)
     return pairs.join(connected_pairs(edges), ["lo", "hi"], "left_anti").select("src", "dst")
 
 
+def _product_sets(nodes: DataFrame) -> DataFrame:
+    """(id, v): topics that have a product, with their sets of them."""
+    return nodes.where("kind = 'topic'").select("id", F.array_sort(F.array_distinct(F.array_compact("product"))).alias("v")).where("size(v) > 0")
+
+
+def related_members(nodes: DataFrame) -> DataFrame:
+    """(id, class): topics of equal product sets form a class, named by its least id."""
+    t = _product_sets(nodes)
+    return t.join(t.groupBy("v").agg(F.min("id").alias("class")), "v").select("id", "class")
+
+
+def related_classes(nodes: DataFrame) -> DataFrame:
+    """(a, b), a <= b: classes that share a product; (a, a) for those of several members.
+
+    With :func:`related_members` and :func:`related_exceptions` this is the whole of :func:`related_to`:
+    members of linked classes get edges in both directions, except the pairs that are linked already.
+    """
+    sets = _product_sets(nodes).groupBy("v").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n"))
+    x = sets.select("class", "n", F.explode("v").alias("value"))
+    pairs = x.select(F.col("class").alias("a"), "n", "value").join(x.select(F.col("class").alias("b"), "value"), "value")
+    return pairs.where("a < b or a = b and n > 1").select("a", "b").distinct()
+
+
+def related_exceptions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(lo, hi): the pairs that share a product, but are linked already."""
+    t = _product_sets(nodes)
+    x, y = (t.select(F.col("id").alias(i), F.col("v").alias(f"v{i}")) for i in ("lo", "hi"))
+    linked = connected_pairs(edges).where("lo <> hi").join(x, "lo").join(y, "hi")
+    return linked.where(F.arrays_overlap("vlo", "vhi")).select("lo", "hi")
+
+
 def related_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, n_related): how many topics :func:`related_to` would link each topic with a product to.
 

@@ -149,12 +149,25 @@ def related_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def infer_related_to(spark: SparkSession, d: str) -> DataFrame:
-    """Related-to edges of the topics that the first map contains."""
+    """Related-to edges of the topics that the first map contains; the whole relation is in
+    ``related_members``, ``related_classes`` and ``related_exceptions``."""
     of = table(spark, d, "maps").join(_first_map(spark, d), "id", "left_semi").select(F.explode("links").alias("l"))
     of = of.select(base_id(F.col("l.target_id")).alias("id")).distinct()
     return infer.related_to(testbed.nodes(spark, d), testbed.edges(spark, d), of)
 
 
+def related_members(spark: SparkSession, d: str) -> DataFrame:
+    return infer.related_members(testbed.nodes(spark, d))
+
+
+def related_classes(spark: SparkSession, d: str) -> DataFrame:
+    return infer.related_classes(testbed.nodes(spark, d))
+
+
+def related_exceptions(spark: SparkSession, d: str) -> DataFrame:
+    return infer.related_exceptions(testbed.nodes(spark, d), testbed.edges(spark, d))
+
+
 def contains_depth_cut(spark: SparkSession, d: str) -> DataFrame:
     """Containment edges of all maps down to two levels."""
     e = testbed.edges(spark, d).where("relation = 'contains'")
@@ -272,6 +285,9 @@ QUERIES = {
     "term_candidates": term_candidates,
     "related_counts": related_counts,
     "infer_related_to": infer_related_to,
+    "related_members": related_members,
+    "related_classes": related_classes,
+    "related_exceptions": related_exceptions,
     "contains_depth_cut": contains_depth_cut,
     "resolve_links": resolve_links,
     "unresolved_links": unresolved_links,
