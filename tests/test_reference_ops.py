@@ -6,6 +6,7 @@ import pytest
 
 from weftgraph.operators import check, infer, lookup, search, traverse
 from weftgraph.operators.resolve import disambiguate, resolve_containment, resolve_links
+from weftgraph.plans import queries
 from weftgraph.schema import EDGES, NODES, display_type
 from pyspark.sql import functions as F
 
@@ -128,6 +129,18 @@ def test_walk_is_the_sequential_walk(spark, seed):
     assert every == {"n0"} | {x[1] for x in bfs(es, "n0", 30)}
 
 
+def test_registered_impact_goes_to_the_default_depth(spark, tmp_path):
+    rng = random.Random(8)
+    es = [*((f"n{i + 1}", f"n{i}", "requires") for i in range(7)), *((f"m{rng.randrange(9)}", f"n{rng.randrange(8)}", "contains") for _ in range(8))]
+    e = spark.createDataFrame([(i, *x) for i, x in enumerate(es)], "edge_id long, from_id string, to_id string, relation string")
+    e.write.parquet(f"{tmp_path}/graph_edges.parquet")
+    c = "id string, title string, text string, topic_type string, audience array<string>, product array<string>"
+    spark.createDataFrame([], c).write.parquet(f"{tmp_path}/chunks.parquet")
+    got = {(r["level"], r["id"], r["relation"], r["via"]) for r in queries.analyze_impact(spark, str(tmp_path)).collect()}
+    assert got == {(n, i, r, via) for n, i, via, r in bfs(es, "n0", 5, None, True)}
+    assert max(x[0] for x in got) == 5
+
+
 def test_scores_and_excerpts(spark):
     rows = [("a", "Install", ""), ("b", "x", "install and install"), ("c", "x", "nothing"), ("d", "İ", "café x"), ("e", None, None)]
     c = spark.createDataFrame(rows, "id string, title string, text string")

@@ -126,7 +126,7 @@ def trace_dependencies(spark: SparkSession, d: str) -> DataFrame:
 
 def analyze_impact(spark: SparkSession, d: str) -> DataFrame:
     e = testbed.edges(spark, d)
-    i = traverse.analyze_impact(e, _least(e.where("relation = 'requires'"), "dst"), 3)
+    i = traverse.analyze_impact(e, _least(e.where("relation = 'requires'"), "dst"), 5)
     c = testbed.chunks(spark, d).select("id", search.excerpt(F.col("text"), 140).alias("excerpt"))
     return i.select("level", "id", "relation", "via").join(c, "id", "left")
 
