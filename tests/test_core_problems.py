@@ -110,20 +110,20 @@ def reach(edges):
     return out
 
 
-def run_hierarchy(spark, pairs):
-    h = hierarchy.build_hierarchy(spark.createDataFrame([(*p, "x") for p in pairs], "p string, c string, node string"), "p", "c")
+def run_hierarchy(spark, pairs, local=hierarchy.LOCAL):
+    h = hierarchy.build_hierarchy(spark.createDataFrame([(*p, "x") for p in pairs], "p string, c string, node string"), "p", "c", local=local)
     depths = {tuple(r) for r in hierarchy.node_depths(h).collect()}
     cycles = {tuple(r) for r in h.cycles.collect()}
     return h, depths, cycles
 
 
-def check_hierarchy(spark, pairs):
+def check_hierarchy(spark, pairs, local=hierarchy.LOCAL):
     edges = {p for p in pairs if None not in p}
     r = reach(edges)
     roots = {p for p, _ in edges} - {c for _, c in edges}
     want = {(n, root, d) for root in roots for n, d in r[root].items()} | {(x, x, 0) for x in roots}
     cyc = {(x, min(y for y in r[x] if x in r[y])) for x in r if x in r[x]}
-    h, depths, cycles = run_hierarchy(spark, pairs)
+    h, depths, cycles = run_hierarchy(spark, pairs, local)
     assert depths == want
     assert cycles == cyc
     return h, r
@@ -141,7 +141,29 @@ def test_descendants_of_residual_nodes(spark):
 def test_hierarchy_random(spark):
     rng = random.Random(5)
     pairs = [(f"n{rng.randrange(30):02}", f"n{rng.randrange(30):02}") for _ in range(38)]
-    check_hierarchy(spark, [*pairs, *pairs[:4], (None, "n01"), ("n02", None)])
+    for local in (0, hierarchy.LOCAL):
+        check_hierarchy(spark, [*pairs, *pairs[:4], (None, "n01"), ("n02", None)], local)
+
+
+def test_child_under_many_parents(spark):
+    pairs = [("top", f"p{i}") for i in range(10_000)] + [(f"p{i}", "shared") for i in range(10_000)] + [("shared", "leaf"), ("shared", "end")]
+    h = hierarchy.build_hierarchy(spark.createDataFrame(pairs, "p string, c string"), "p", "c")
+    got = {r["node_id"]: (r["root_id"], r["depth"]) for r in hierarchy.node_depths(h).collect()}
+    assert len(got) == 10_004 and got["shared"] == ("top", 2) and got["leaf"] == ("top", 3) and got["p7"] == ("top", 1)
+    assert h.descendants.where("node = 'top'").count() == 10_003 and h.cycles.isEmpty()
+
+
+def test_one_task_gives_what_rounds_give():
+    rng = random.Random(11)
+    for n in (4, 9, 20, 40):
+        p, c = zip(*[(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(n + 6)])
+        r = reach(set(zip(p, c)))
+        assert hierarchy._strong(list(p), list(c), []) == {x: min(y for y in r[x] if x in r[y]) for x in r if x in r[x]}
+        ranks = hierarchy._ranks(list(p), list(c), [None if x in p else 0 for x in c])
+        bad = {x for x in r if x in r[x] or any(y in r[y] for y in r[x])}
+        assert {x for x in ranks if ranks[x] is None} == bad & set(p)
+        for x in set(p) - bad:
+            assert ranks[x] == 1 + max((ranks.get(y) or 0) for y in {b for a, b in zip(p, c) if a == x})
 
 
 def test_hierarchy_tree_chain_and_cycles(spark):

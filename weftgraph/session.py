@@ -7,10 +7,15 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .files import delete
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_DIR: str | None = None
 _WRITTEN: list[str] = []
 _SHIPPED: set[str] = set()
@@ -33,28 +38,45 @@ def build_session(app: str = "weftgraph", master: str | None = None, **conf) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a folder of our own only where
-    that is unset (local runs and tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or what the session was given as its
+    checkpoint folder. A folder of our own only where neither is set and one machine runs all; on a
+    cluster a folder of the driver's machine would be lost to the others, so that is an error."""
     global _OWN_DIR
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _OWN_DIR is None:
         _OWN_DIR = tempfile.mkdtemp(prefix="weftgraph-")
         atexit.register(shutil.rmtree, _OWN_DIR, ignore_errors=True)
     return _OWN_DIR
 
 
-def write_cut(df: DataFrame, *partition_by: str) -> str:
-    """Write ``df`` as a table in the shared folder and return its path."""
+def cut_path(spark: SparkSession) -> str:
+    """A new place in the shared folder."""
+    path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def write_cut(df: DataFrame, *partition_by: str, path: str | None = None) -> str:
+    """Write ``df`` as a table in the shared folder, at ``path`` below a :func:`cut_path` if given,
+    and return its path."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/weft-{uuid.uuid4().hex}"
+    path = path or cut_path(spark)
+    # nothing reads the shuffle files of a table that is written: let Spark remove them at once
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
     w = df.write.option("compression", "zstd")
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
-    _WRITTEN.append(path)
+    try:
+        w.parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     return path
 
 
@@ -66,13 +88,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 def drop_cut(spark: SparkSession, path: str) -> None:
     """Remove a table written by :func:`write_cut` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    delete(spark, path)
     if path in _WRITTEN:
         _WRITTEN.remove(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What is cut inside is removed at the end; for callers that have their rows by then."""
+    before = set(_WRITTEN)
+    try:
+        yield
+    finally:
+        for path in [p for p in _WRITTEN if p not in before]:
+            drop_cut(spark, path)
+
+
 def _drop_all() -> None:
     spark = SparkSession.getActiveSession()
     for path in list(_WRITTEN):
