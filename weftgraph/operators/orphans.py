@@ -6,6 +6,8 @@ incomplete, so every sound reference to it is an *inherited* orphan, and so on:
 semi-joins down the reference graph, the frontier of one round being the records found in the round
 before. A record is taken up once, hence cycles end.
 
+What is asked for is made: direct orphans need no cascade.
+
 Skew: keys that many references name are found by a count with map-side combining. There can be at
 most ``1 / HOT_SHARE`` of them, whatever the data, so they are a bounded list; their references are
 spread over ``SALTS`` tasks and the few rows of the other side that have such a key are repeated.
@@ -13,7 +15,9 @@ spread over ``SALTS`` tasks and the few rows of the other side that have such a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import cached_property
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import base_id
@@ -22,12 +26,14 @@ from ..session import cut
 HOT_SHARE, SALTS = 0.01, 32
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, at_least: int = 10_000) -> list[str]:
-    """Keys with more than ``share`` of all rows and ``at_least`` rows: ``1 / share`` at most."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    if total * share < at_least and total < at_least:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, at_least: int = 10_000, total: int | None = None) -> list[str]:
+    """Keys with more than ``share`` of all rows and ``at_least`` rows: ``1 / share`` at most.
+    ``total``: the number of rows with a key, where it is known."""
+    rows = df.where(F.col(key).isNotNull())
+    total = rows.count() if total is None else total
+    if total < at_least:
         return []
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return [r[0] for r in counts.where(F.col("n") > max(total * share, at_least)).collect()]
 
 
@@ -43,6 +49,61 @@ def salted(df: DataFrame, key: str, hot: list, spread: str | None) -> DataFrame:
     return df.withColumn("_salt", F.explode(F.when(is_hot, all_salts).otherwise(F.array(F.lit(0)))))
 
 
+COLUMNS = ["ref_table", "from_id", "relation", "target_id", "at"]
+
+
+class Orphans:
+    """Orphan references among ``refs`` (``ref_table, from_id, relation, target_id, at``), judged by
+    ``spans`` (``id, added_at, removed_at``); see :func:`orphan_references`."""
+
+    def __init__(self, refs: DataFrame, spans: DataFrame):
+        r = refs.select(*COLUMNS).where(F.trim("target_id") != "").distinct().withColumn("key", base_id(F.col("target_id")))
+        seen = Observation()
+        r = cut(r.observe(seen, F.count(F.lit(1)).alias("n")))
+        self.hot = hot_keys(r, "key", total=(seen.get or {}).get("n") or 0)
+        self.refs = salted(r, "key", self.hot, "from_id")
+        s = spans.select(F.col("id").alias("key"), "added_at", "removed_at").where("added_at is not null").distinct()
+        self.spans = salted(s, "key", self.hot, None)
+
+    def _judged(self, how: str) -> DataFrame:
+        r, s = F.col, lambda c: F.col(f"s.{c}")
+        covers = (
+            (r("r.key") == s("key")) & (r("r._salt") == s("_salt")) & (s("added_at") <= r("r.at")) & (s("removed_at").isNull() | (s("removed_at") > r("r.at")))
+        )
+        return self.refs.alias("r").join(self.spans.alias("s"), covers, how)
+
+    @cached_property
+    def _direct(self) -> DataFrame:
+        return self._judged("left_anti")
+
+    @property
+    def direct(self) -> DataFrame:
+        """No stretch of the record's existence covers the moment; level 0."""
+        return self._direct.select(*COLUMNS, F.lit("direct").alias("kind"), F.lit(0).alias("level"))
+
+    @property
+    def inherited(self) -> DataFrame:
+        """Sound references to records that hold an orphan reference, directly or through others."""
+        self._direct = cut(self._direct)
+        sound = cut(self._judged("left_semi"))
+        links = sound.where("from_id is not null").select(F.col("from_id").alias("child"), "key", "_salt").where(F.col("child") != F.col("key")).distinct()
+        links = links.repartition("key", "_salt").persist()
+        up = lambda ids: salted(ids, "key", self.hot, None)
+        first = self._direct.where("from_id is not null").select(F.col("from_id").alias("id"), F.lit(0).alias("level")).distinct()
+        frontier = cut(first)
+        levels, level = frontier, 0
+        try:
+            while not frontier.isEmpty():
+                level += 1
+                nxt = links.join(up(frontier.select(F.col("id").alias("key"))), ["key", "_salt"], "left_semi").select(F.col("child").alias("id")).distinct()
+                frontier = cut(nxt.join(levels, "id", "left_anti").withColumn("level", F.lit(level)))
+                levels = levels.unionByName(frontier)
+        finally:
+            links.unpersist()
+        found = sound.join(up(levels.select(F.col("id").alias("key"), "level")), ["key", "_salt"])
+        return found.select(*COLUMNS, F.lit("inherited").alias("kind"), (F.col("level") + 1).alias("level"))
+
+
 def orphan_references(refs: DataFrame, spans: DataFrame) -> DataFrame:
     """Orphan references, each with the way it is orphaned.
 
@@ -56,51 +117,9 @@ def orphan_references(refs: DataFrame, spans: DataFrame) -> DataFrame:
     nothing on. Empty tables give an empty result (no spans: all references are direct orphans).
     Other columns are ignored.
     """
-    cols = ["ref_table", "from_id", "relation", "target_id", "at"]
-    r = refs.select(*cols).where(F.trim("target_id") != "").distinct().withColumn("key", base_id(F.col("target_id")))
-    s = spans.select(F.col("id").alias("key"), "added_at", "removed_at").distinct()
-    hot = hot_keys(r, "key")
-    r = salted(r, "key", hot, "from_id")
-    s = salted(s, "key", hot, None).alias("s")
-    rr = r.alias("r")
-    covers = (
-        (F.col("r.key") == F.col("s.key"))
-        & (F.col("r._salt") == F.col("s._salt"))
-        & (F.col("s.added_at") <= F.col("r.at"))
-        & (F.col("s.removed_at").isNull() | (F.col("s.removed_at") > F.col("r.at")))
-    )
-    # one pass marks every reference; the marked table is the base of all rounds
-    marked = rr.join(s.where("added_at is not null"), covers, "left").select("r.*", F.col("s.key").isNotNull().alias("sound"))
-    marked = marked.groupBy(*cols, "key", "_salt").agg(F.max("sound").alias("sound"))
-    marked = cut(marked)
-
-    sound = marked.where("sound").where("from_id is not null").select(F.col("from_id").alias("child"), F.col("key"), "_salt")
-    links = sound.where(F.col("child") != F.col("key")).distinct()
-    links = links.repartition("key", "_salt").persist()
-    frontier = marked.where(~F.col("sound")).where("from_id is not null").select("from_id").distinct()
-    frontier = cut(frontier.select(F.col("from_id").alias("id"), F.lit(0).alias("level")))
-    found, level = [frontier], 0
-    try:
-        while not frontier.isEmpty():
-            level += 1
-            seen = found[0]
-            for f in found[1:]:
-                seen = seen.unionByName(f)
-            up = salted(frontier.select(F.col("id").alias("key")), "key", hot, None)
-            nxt = links.join(up, ["key", "_salt"], "left_semi").select(F.col("child").alias("id")).distinct()
-            frontier = cut(nxt.join(seen, "id", "left_anti").withColumn("level", F.lit(level)))
-            found.append(frontier)
-        levels = found[0]
-        for f in found[1:]:
-            levels = levels.unionByName(f)
-        lv = salted(levels.select(F.col("id").alias("key"), "level"), "key", hot, None)
-        direct = marked.where(~F.col("sound")).select(*cols, F.lit("direct").alias("kind"), F.lit(0).alias("level"))
-        inherited = (
-            marked.where("sound").join(lv, ["key", "_salt"]).select(*cols, F.lit("inherited").alias("kind"), (F.col("level") + 1).alias("level"))
-        )
-        return direct.unionByName(inherited)
-    finally:
-        links.unpersist()
+    o = Orphans(refs, spans)
+    inherited = o.inherited
+    return o.direct.unionByName(inherited)
 
 
 def orphan_report(orphans: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    o = orphans.orphan_references(references(spark, d), spans(spark, d)).where("kind = 'direct'")
+    o = orphans.Orphans(references(spark, d), spans(spark, d)).direct
     return o.select("ref_table", "from_id", "relation", "target_id", F.date_format("at", "yyyy-MM").alias("period")).distinct()
 
 
