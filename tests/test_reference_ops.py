@@ -186,8 +186,39 @@ def test_secrets(spark):
 def test_disambiguation(spark):
     t = spark.createDataFrame([("ID", "a.dita", 0), ("ID", "topics/second.dita", 1), ("ID--topics-second.dita", "z.dita", 2)], "id string, path string, ord long")
     got, notes = disambiguate(t)
-    assert {r["path"]: r["id"] for r in got.collect()} == {"a.dita": "ID", "topics/second.dita": "ID--topics-second.dita-2", "z.dita": "ID--topics-second.dita"}
-    assert "topics/second.dita" in notes.first()["message"] and "a.dita" in notes.first()["message"]
+    # the second topic claims its new id before the third comes, whose own id that is
+    assert {r["path"]: r["id"] for r in got.collect()} == {"a.dita": "ID", "topics/second.dita": "ID--topics-second.dita", "z.dita": "ID--topics-second.dita--z.dita"}
+    notes = {r["subject"]: r["message"] for r in notes.collect()}
+    assert set(notes) == {"topics/second.dita", "z.dita"} and "first in a.dita" in notes["topics/second.dita"] and "first in topics/second.dita" in notes["z.dita"]
+
+
+def one_by_one(rows):
+    """Ids as they are claimed in order."""
+    owner, out = {}, {}
+    for i, path, ord_ in sorted(rows, key=lambda r: r[2]):
+        new, n = i, 1
+        while new in owner:
+            new = f"{i}--{path.replace('/', '-')}" + (f"-{n}" if n > 1 else "")
+            n += 1
+        owner[new] = path
+        out[path] = new
+    return out
+
+
+def test_disambiguation_is_that_of_claiming_one_by_one(spark):
+    cases = [
+        [("x", "q", 0), ("x", "a/b", 1), ("x--a-b", "c", 2), ("x--a-b-2", "d", 3)],
+        [("x--a-b", "c", 0), ("x--a-b-2", "d", 1), ("x", "q", 2), ("x", "a/b", 3), ("x", "a-b", 4)],
+        [("x", f"f{i}/index", i) for i in range(40)],
+        [(f"x--{'a-' * (i % 3)}b" if i % 2 else "x", f"{'a/' * (i % 4)}b{i % 5}", i) for i in range(25)],
+    ]
+    for rows in cases:
+        rows = list({r[1]: r for r in rows}.values())
+        got, notes = disambiguate(spark.createDataFrame([(*r, "kept") for r in rows], "id string, path string, ord long, level string").repartition(3))
+        want = one_by_one(rows)
+        assert {r["path"]: r["id"] for r in got.collect()} == want and got.columns == ["id", "path", "ord", "level"]
+        assert notes.count() == sum(want[p] != i for i, p, _ in rows)
+    assert disambiguate(spark.createDataFrame([], "id string, path string, ord long"))[0].count() == 0
 
 
 def test_resolution_keeps_repeated_containment_only(spark):
