@@ -12,13 +12,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.text import normal_value
 from ..session import ship
 
 
+def normal_values(key_array: str) -> Column:
+    """The distinct non-empty normal values of an array column."""
+    v = F.array_distinct(F.transform(F.col(key_array), normal_value))
+    return F.filter(v, lambda x: x.isNotNull() & (x != ""))
+
+
 def exploded_values(df: DataFrame, key_array: str, *keep: str) -> DataFrame:
     """One row per non-empty normal value of ``key_array``; ``keep`` columns come along."""
     v = F.explode(F.array_distinct(F.transform(F.col(key_array), normal_value)))
@@ -68,15 +75,24 @@ def latest_per_key(df: DataFrame, key: str, item: str, at: str, k: int = 3, max_
 
 
 def summary_per_key(df: DataFrame, key: str, item: str, at: str) -> DataFrame:
-    """Rows ``(key, n_items, first_at, last_at)``, each item counted once per key.
+    """Rows ``(key, n_items, first_at, last_at)``, each item counted once per key. ``key`` is a column
+    of keys or of arrays of keys.
 
-    Two rounds of partial aggregation: first on (key, item), which spreads a hot key over all
-    tasks, then on the key, where every task sends one state per key. Nulls as in
-    :func:`latest_per_key`.
+    The deliveries of an item are brought together first, still with all keys in one row, so nothing
+    is shuffled once a key; each then counts once for each of its keys. Behind that, algebraic
+    aggregates with map-side combining: every task sends one state a key. Null items and keys are left
+    out, a null ``at`` counts but bounds nothing; empty input gives an empty result.
     """
-    d = df.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{item}`").alias("_i"), F.col(f"`{at}`").alias("_t"))
-    d = d.where(F.col("_k").isNotNull() & F.col("_i").isNotNull())
-    one = d.groupBy("_k", "_i").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"))
-    return one.groupBy(F.col("_k").alias(key)).agg(
-        F.count(F.lit(1)).alias("n_items"), F.min("lo").alias("first_at"), F.max("hi").alias("last_at")
-    )
+    keys = F.col(f"`{key}`")
+    if not isinstance(df.schema[key].dataType, ArrayType):
+        keys = F.array(keys)
+    d = df.select(F.array_sort(F.array_distinct(F.array_compact(keys))).alias("_k"), F.col(f"`{item}`").alias("_i"), F.col(f"`{at}`").alias("_t"))
+    d = d.where(F.col("_i").isNotNull() & (F.size("_k") > 0))
+    # equal deliveries are one element; only versions that differ in keys or time stand side by side
+    one = d.groupBy("_i").agg(F.collect_set(F.struct("_k", "_t")).alias("v"))
+    alone = F.size("v") == 1
+    key_of = F.when(alone, F.element_at("v", 1)["_k"]).otherwise(F.array_distinct(F.flatten(F.transform("v", lambda x: x["_k"]))))
+    e = one.select("v", F.explode(key_of).alias("_key"))
+    times = F.transform(F.filter("v", lambda x: F.array_contains(x["_k"], F.col("_key"))), lambda x: x["_t"])
+    e = e.select(F.col("_key").alias(key), F.array_min(times).alias("lo"), F.array_max(times).alias("hi"))
+    return e.groupBy(key).agg(F.count(F.lit(1)).alias("n_items"), F.min("lo").alias("first_at"), F.max("hi").alias("last_at"))

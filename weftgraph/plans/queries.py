@@ -24,7 +24,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_summary(spark: SparkSession, d: str) -> DataFrame:
-    return perkey.summary_per_key(_product_topics(spark, d), "product", "id", "built_at")
+    t = table(spark, d, "topics").select(perkey.normal_values("product").alias("product"), "id", "built_at")
+    return perkey.summary_per_key(t, "product", "id", "built_at")
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
