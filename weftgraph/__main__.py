@@ -5,10 +5,9 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import functions as F
-
+from .operators import infer, traverse
+from .serve import Bundle, has_tables, serve, validate_files
 from .session import build_session
-from .serve import Bundle, serve, validate_files
 from .sinks.bundle import publish
 from .sources import job, model
 
@@ -70,7 +69,7 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 nodes, edges, notes = job.extract(spark, a.job, a.depth, a.include_drafts)
             edges, more = job.with_inferred(nodes, edges)
-            summary, found = publish(nodes, edges, a.output, a.emit_graph_json, a.mcp)
+            summary, found = publish(nodes, edges, a.output, a.emit_graph_json, a.mcp, tables={"term_candidates": infer.term_candidates(nodes)})
             _show(more if notes is None else notes.unionByName(more))
             _show(found)
             print(" ".join(f"{k}={n}" for k, n in summary.items()))
@@ -80,9 +79,9 @@ def main(argv: list[str] | None = None) -> int:
             _show(found)
             return 1 if found.where("severity = 'error'").count() else 0
         if a.command == "query":
-            _, edges = model.read_graph(spark, a.store)
-            e = edges.where(F.col("src") == a.topic)
-            rows = (e.where(F.col("relation") == a.relation) if a.relation else e).orderBy("edge_ord").collect()
+            store = a.store.rstrip("/")
+            edges = spark.read.parquet(f"{store}/tables/edges_by_src") if has_tables(spark, store) else model.read_graph(spark, store)[1]
+            rows = traverse.edges_from(edges, a.topic, a.relation).orderBy("edge_ord").collect()
             for r in rows:
                 print(f"{r['relation']} -> {r['dst']}")
             return 0 if rows else 1

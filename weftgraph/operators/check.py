@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 # Patterns of the secret scan.
 SECRETS = {
     "aws-access-key-id": r"(?:AKIA|ASIA)[0-9A-Z]{16}",
@@ -33,8 +35,18 @@ def redundant_links(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def unreachable(nodes: DataFrame, index_ids: DataFrame) -> DataFrame:
-    return nodes.join(index_ids.select("id").distinct(), "id", "left_anti").select("id")
+def unreachable(files: DataFrame, links: DataFrame, listed: DataFrame) -> DataFrame:
+    """(file): files that no way of links leads to from those listed (column ``file``). ``links``:
+    (src, dst). Files that are listed need no search, so only the others are walked to."""
+    rest = cut(files.join(listed, "file", "left_anti").select("file"))
+    front = listed.select("file")
+    while not rest.isEmpty():
+        met = links.join(front.select(F.col("file").alias("src")), "src", "left_semi").select(F.col("dst").alias("file")).distinct()
+        front = cut(rest.join(met, "file", "left_semi"))
+        if front.isEmpty():
+            break
+        rest = cut(rest.join(front, "file", "left_anti"))
+    return rest
 
 
 def secret_scan(files: DataFrame, name: str, content: str) -> DataFrame:
@@ -43,8 +55,14 @@ def secret_scan(files: DataFrame, name: str, content: str) -> DataFrame:
     return files.where(F.col(content).isNotNull()).select(F.col(name).alias("file"), F.explode(kinds).alias("pattern")).distinct()
 
 
-def findings(nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """(severity, rule, subject): all rules together; only errors fail a bundle."""
+def duplicate_files(files: DataFrame) -> DataFrame:
+    """(file, n): names under which more than one file would be written."""
+    return files.groupBy("file").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def findings(nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None, rag: DataFrame | None = None) -> DataFrame:
+    """(severity, rule, subject): all rules together; only errors fail a bundle. ``files`` and ``rag``
+    (file, content) are the concept files and the text index, which are scanned for secrets."""
 
     def of(df: DataFrame, severity: str, rule: str, subject) -> DataFrame:
         return df.select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), subject.alias("subject"))
@@ -55,6 +73,8 @@ def findings(nodes: DataFrame, edges: DataFrame, files: DataFrame | None = None)
     out = out.union(of(dangling(nodes, edges), "error", "dangling-link", arrow))
     out = out.union(of(redundant_links(edges), "warning", "redundant-link", arrow))
     if files is not None:
-        hits = secret_scan(files, "file", "content")
+        out = out.union(of(duplicate_files(files), "error", "duplicate-file", F.col("file")))
+        every = files.select("file", "content")
+        hits = secret_scan(every if rag is None else every.union(rag.select("file", "content")), "file", "content")
         out = out.union(of(hits, "error", "secret", F.concat("file", F.lit(": "), "pattern")))
     return out

@@ -88,11 +88,12 @@ def graph_view(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", F.col("okf_type").alias("type"))
 
 
-def text_chunks(nodes: DataFrame) -> DataFrame:
-    """The text index: one chunk a topic; empty arrays and missing text are null."""
+def text_chunks(nodes: DataFrame, *keep: str) -> DataFrame:
+    """The text index: one chunk a topic; empty arrays and missing text are null. ``keep``: columns of
+    the nodes that come along."""
     none = F.col("shortdesc").isNull() & F.col("body").isNull()
     empty = lambda c: F.when(F.size(strings(F.col(c))) > 0, F.col(c))
     return nodes.where("kind = 'topic'").select(
         "id", "title", F.when(~none, F.concat_ws("\n\n", "shortdesc", "body")).alias("text"), F.col("okf_type").alias("topicType"),
-        empty("audience").alias("audience"), empty("product").alias("product"), F.concat(F.lit("topics/"), "id", F.lit(".md")).alias("okfNode"),
+        empty("audience").alias("audience"), empty("product").alias("product"), F.concat(F.lit("topics/"), "id", F.lit(".md")).alias("okfNode"), *keep,
     )

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import sys
 from typing import TextIO
 
@@ -11,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
+from .files import is_file, names_in, stamp
 from .operators import check, lookup, search, traverse
+from .session import scope
 from .sources import model
 
+# Fixed values of the protocol, here and below: its version, the names of tools and arguments, and the
+# lines of the answers.
 PROTOCOL = "2024-11-05"
 
 _ID = {"type": "string", "description": "Id of a topic or map, as search_topics gives it"}
@@ -59,42 +62,59 @@ def _depth(args: dict, default: int) -> int:
 
 
 class Snapshot:
-    """The tables of a bundle at one moment."""
+    """The tables of a bundle at one moment. A bundle that was published has them as Parquet, nodes
+    sorted by id and edges by either end, so that a point lookup reads the row groups it needs; only
+    where these are missing, or older than the interchange files, are the latter read."""
 
     def __init__(self, spark: SparkSession, root: str):
+        self.cached: list[DataFrame] = []
+        if has_tables(spark, root):
+            nodes = spark.read.parquet(f"{root}/tables/nodes")
+            # of an id that is both a topic and a map the topic is shown
+            topic = F.when(F.col("kind") == "topic", 1).otherwise(0)
+            shown = nodes.groupBy("id").agg(F.max_by(F.struct("okf_type", "node_ord", "title", "shortdesc"), topic).alias("n"))
+            self.nodes = shown.select("id", "n.okf_type", "n.node_ord", F.coalesce("n.title", "id").alias("title"), "n.shortdesc", F.lit(True).alias("has_file"))
+            self.edges, self.edges_to = (spark.read.parquet(f"{root}/tables/edges_by_{end}") for end in ("src", "dst"))
+            self.chunks = lookup.text_chunks(nodes)
+            return
         graph, edges = model.read_graph(spark, root)
         info = model.read_concepts(spark, root)
-        # an id that is both a topic and a map is looked up as the topic
         info = info.groupBy("id").agg(F.max_by(F.struct("title", "shortdesc"), F.when(F.col("kind") == "topic", 1).otherwise(0)).alias("i"), F.lit(True).alias("has_file"))
         n = graph.join(info, "id", "left")
         self.nodes = n.select(
             "id", "okf_type", "node_ord", F.coalesce("i.title", "id").alias("title"), F.col("i.shortdesc").alias("shortdesc"), F.coalesce("has_file", F.lit(False)).alias("has_file")
         ).cache()
         self.edges, self.chunks = edges.cache(), model.read_chunks(spark, root).cache()
-        self.nodes.count(), self.edges.count(), self.chunks.count()
+        self.edges_to = self.edges
+        self.cached = [self.nodes, self.edges, self.chunks]
+        for t in self.cached:
+            t.count()
 
     def close(self) -> None:
-        for t in (self.nodes, self.edges, self.chunks):
+        for t in self.cached:
             t.unpersist()
 
 
+INTERCHANGE = ("graph.json", "rag/chunks.jsonl")
+
+
+def has_tables(spark: SparkSession, root: str) -> bool:
+    """Whether the tables of a bundle are there and no interchange file was changed after them."""
+    built = stamp(spark, f"{root}/tables/built.json")
+    others = [stamp(spark, f"{root}/{name}") for name in INTERCHANGE]
+    return built is not None and all(o is None or o[0] <= built[0] for o in others)
+
+
 class Bundle:
     """A bundle under a folder; read anew when its graph or its text index has changed."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
+        self.spark, self.root = spark, root.rstrip("/")
         self._mark: tuple | None = None
         self._snapshot: Snapshot | None = None
 
     def _stamp(self) -> tuple:
-        out = []
-        for name in ("graph.json", os.path.join("rag", "chunks.jsonl")):
-            try:
-                s = os.stat(os.path.join(self.root, name))
-                out.append((s.st_mtime_ns, s.st_size))
-            except OSError:
-                out.append(None)
-        return tuple(out)
+        return tuple(stamp(self.spark, f"{self.root}/{name}") for name in (*INTERCHANGE, "tables/built.json"))
 
     def tables(self) -> Snapshot:
         mark = self._stamp()
@@ -115,7 +135,8 @@ class Bundle:
     def call(self, name: str, args: dict) -> str:
         if name not in {t["name"] for t in TOOLS}:
             raise ToolError(f"unknown tool: {name}")
-        return getattr(self, name)(args)
+        with scope(self.spark):  # a walk's levels are not needed once the answer is there
+            return getattr(self, name)(args)
 
     def _node(self, t: Snapshot, node_id: str):
         r = t.nodes.where((F.col("id") == node_id) & F.col("has_file")).first()
@@ -182,7 +203,7 @@ class Bundle:
 
     def analyze_impact(self, args: dict) -> str:
         node, t = _text(args, "topicId"), self.tables()
-        w = self._titled(t, traverse.analyze_impact(t.edges, node, _depth(args, 5)), "id")
+        w = self._titled(t, traverse.analyze_impact(t.edges_to, node, _depth(args, 5)), "id")
         c = t.chunks.where("text is not null").select("id", search.excerpt(F.col("text"), 140).alias("x")).dropDuplicates(["id"])
         rows = w.join(c, "id", "left").orderBy("level", "path").collect()
         if not rows:
@@ -203,23 +224,46 @@ class Bundle:
 
 
 def validate_files(spark: SparkSession, root: str) -> DataFrame:
-    """(severity, rule, subject) of the files of a bundle as they lie there; needs no graph."""
+    """(severity, rule, subject) of the files of a bundle as they lie there; needs no graph.
+
+    Errors: no index; a file other than the index that carries ``okf_version``; a concept without a
+    type; an id twice; a link or a listed relation that leads nowhere; a secret in ``okf`` or ``rag``.
+    Warnings: a target linked twice in one file; a file that the index does not lead to.
+    """
+    root = root.rstrip("/")
     c = model.read_concepts(spark, root).cache()
     one = lambda df, severity, rule: df.select(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), F.col("s").alias("subject"))
     out = one(c.where("okf_type is null or okf_type = ''").select(F.col("file").alias("s")), "error", "missing-type")
+    out = out.union(one(c.where("okf_version is not null").select(F.col("file").alias("s")), "error", "version-outside-index"))
     out = out.union(one(check.duplicate_ids(c.select("id")).select(F.col("id").alias("s")), "error", "duplicate-id"))
     found = F.explode(F.regexp_extract_all("content", F.lit(r"(?m)^- \[.*\]\(((?:\.\./(?:topics|maps)/)?[^()/]+\.md)\)$"), F.lit(1)))
     links = c.select("file", "kind", found.alias("l"))
     links = links.select("file", F.when(F.col("l").startswith("../"), F.substring("l", 4, 1 << 20)).otherwise(F.concat("kind", F.lit("s/"), "l")).alias("to"))
     bad = links.join(c.select(F.col("file").alias("to")).distinct(), "to", "left_anti").distinct()
     out = out.union(one(bad.select(F.concat("file", F.lit(" -> "), "to").alias("s")), "error", "dangling-link"))
+    listed = c.select("file", F.explode("relations").alias("id")).distinct()
+    lost = listed.join(c.select("id").distinct(), "id", "left_anti")
+    out = out.union(one(lost.select(F.concat("file", F.lit(" -> "), "id").alias("s")), "error", "unknown-relation-target"))
     twice = links.groupBy("file", "to").count().where("count > 1")
     out = out.union(one(twice.select(F.concat("file", F.lit(" -> "), "to").alias("s")), "warning", "redundant-link"))
-    secret = check.secret_scan(c, "file", "content")
-    out = out.union(one(secret.select(F.concat("file", F.lit(": "), "pattern").alias("s")), "error", "secret"))
-    if not os.path.isfile(os.path.join(root, "okf", "index.md")):
+    files = c.select("file", "content")
+    index = f"{root}/okf/index.md"
+    if is_file(spark, index):
+        i = spark.read.text(index)
+        at = F.regexp_extract("value", r"^- \[.*\]\(((?:topics|maps)/[^()/]+\.md)\)$", 1)
+        shown = i.select(at.alias("file")).where("file <> ''").distinct()
+        far = check.unreachable(c.select("file"), links.select(F.col("file").alias("src"), F.col("to").alias("dst")), shown)
+        out = out.union(one(far.select(F.col("file").alias("s")), "warning", "not-reachable"))
+        gone = shown.join(c.select("file"), "file", "left_anti")
+        out = out.union(one(gone.select(F.concat(F.lit("index.md -> "), "file").alias("s")), "error", "dangling-link"))
+        files = files.union(i.select(F.lit("index.md").alias("file"), F.col("value").alias("content")))
+    else:
         out = out.union(spark.createDataFrame([("error", "missing-index", "index.md")], out.schema))
-    return out
+    for name in names_in(spark, f"{root}/rag"):
+        if not name.startswith((".", "_")):
+            files = files.union(spark.read.text(f"{root}/rag/{name}").select(F.lit(f"rag/{name}").alias("file"), F.col("value").alias("content")))
+    secret = check.secret_scan(files, "file", "content")
+    return out.union(one(secret.select(F.concat("file", F.lit(": "), "pattern").alias("s")), "error", "secret"))
 
 
 def handle(request: dict, bundle: Bundle) -> dict | None:

@@ -1,28 +1,26 @@
 """Publishing a bundle: concept files, index, graph, text index, configuration.
 
 Nodes and edges go out as Parquet, the edges twice, clustered by either end, for point lookups in
-both directions. Files of the interchange format are written beside them: concept files by the
-tasks, one by one, the single-file documents as sorted parts that are then joined.
+both directions; the server reads these. Files of the interchange format are written beside them:
+concept files by the tasks, one by one, the single-file documents as sorted parts that are then
+joined. The folder may lie in any file system that Spark and pyarrow both know.
 """
 
 from __future__ import annotations
 
-import glob
+import hashlib
 import json
-import os
 import re
-import shutil
-import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
-from typing import IO
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import __version__
+from ..files import delete, exists, join_files, rename, task_store, write_text
 from ..operators import check, lookup
 from ..session import cut, ship
 
@@ -40,10 +38,25 @@ def scalar(text: str) -> str:
     return text if _PLAIN.fullmatch(text) and text.lower() not in _WORDS else json.dumps(text, ensure_ascii=False)
 
 
+NAME = 200  # bytes of a file name; of a longer one a quarter of that is kept, in characters
+
+
 def file_name(node_id: str) -> str:
-    """An id as a file name: separators and leading dots cannot leave the folder."""
+    """An id as a file name: separators and leading dots cannot leave the folder, and no name begins
+    like those that readers skip. A name that had to be changed ends in a hash of the id, so that no
+    two ids get one name."""
     name = re.sub(_UNSAFE, "-", node_id)
-    return "_" + name if name.startswith(".") or not name else name
+    name = "-" + name if name.startswith((".", "_")) or not name else name
+    name = name if len(name.encode()) <= NAME else name[: NAME // 4]
+    return name if name == node_id else f"{name}~{hashlib.md5(node_id.encode()).hexdigest()[:12]}"
+
+
+def file_name_of(node_id: Column) -> Column:
+    """:func:`file_name` of a column."""
+    name = F.regexp_replace(node_id, _UNSAFE, "-")
+    name = F.when(name.startswith(".") | name.startswith("_") | (name == ""), F.concat(F.lit("-"), name)).otherwise(name)
+    name = F.when(F.octet_length(name) <= NAME, name).otherwise(F.substring(name, 1, NAME // 4))
+    return F.when(name == node_id, node_id).otherwise(F.concat(name, F.lit("~"), F.substring(F.md5(node_id), 1, 12)))
 
 
 def render_concept(n: dict, sections: list[dict], relations: dict[str, list[str]] | None, at: str) -> str:
@@ -101,82 +114,70 @@ def concepts(nodes: DataFrame, edges: DataFrame, at: str) -> DataFrame:
 
 
 def _write_files(files: DataFrame, root: str) -> None:
-    """Each task writes its own files into the shared folder ``root``."""
+    """Each task writes its own files below ``root``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = task_store(root)
+        for folder in ("topics", "maps"):
+            store.create_dir(f"{base}/{folder}", recursive=True)
         for b in batches:
             for name, content in zip(b["file"], b["content"]):
-                path = os.path.join(root, name)
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path, "w", encoding="utf-8", newline="\n") as f:
-                    f.write(content)
+                with store.open_output_stream(f"{base}/{name}") as f:
+                    f.write(content.encode("utf-8"))
             yield pd.DataFrame({"n": [len(b)]})
 
     files.mapInPandas(run, "n long").agg(F.sum("n")).collect()
 
 
-def _put(path: str, text: str) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(path, "w", encoding="utf-8", newline="\n") as f:
-        f.write(text)
+def _line(*fields: str) -> Column:
+    return F.to_json(F.struct(*fields))
 
 
-def _append_ordered(lines: DataFrame, order: list, out: IO[bytes], skip: int = 0) -> None:
-    """Sort, let the tasks write their parts, and join the parts; no row passes the interpreter.
-    ``skip`` bytes at the very start are left out."""
-    part = f"{out.name}.parts-{uuid.uuid4().hex}"
-    lines.orderBy(*order).select("line").write.text(part)
-    for name in sorted(glob.glob(os.path.join(part, "part-*"))):
-        with open(name, "rb") as f:
-            if skip and os.path.getsize(name):
-                f.seek(skip)
-                skip = 0
-            shutil.copyfileobj(f, out, 1 << 20)
-    shutil.rmtree(part)
+def _node_lines(nodes: DataFrame) -> DataFrame:
+    """(doc, node_ord, id, line): the lines that the single-file documents have of each node."""
+    # titles may hold line ends, file names cannot
+    shown = F.concat(F.lit("- ["), F.regexp_replace("title", r"\s+", " "), F.lit("]("), "kind", F.lit("s/"), file_name_of(F.col("id")), F.lit(".md)"))
+    graph = F.concat(F.lit(","), F.to_json(F.struct("id", F.col("okf_type").alias("type"))))
+    lines = F.array(F.struct(F.concat("kind", F.lit("s")).alias("doc"), shown.alias("line")), F.struct(F.lit("nodes").alias("doc"), graph.alias("line")))
+    return nodes.select("node_ord", "id", F.explode(lines).alias("x")).select("x.doc", "node_ord", "id", "x.line")
+
 
+def _chunk_lines(nodes: DataFrame) -> DataFrame:
+    c = lookup.text_chunks(nodes, "node_ord")
+    return c.select(F.lit("chunks").alias("doc"), "node_ord", "id", _line("id", "title", "text", "topicType", "audience", "product", "okfNode").alias("line"))
 
-def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    n = nodes.select("node_ord", "id", F.concat(F.lit(","), F.to_json(F.struct("id", F.col("okf_type").alias("type")))).alias("line"))
+
+def _edge_lines(edges: DataFrame) -> DataFrame:
     e = F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "relation")
-    e = edges.select("edge_ord", F.concat(F.lit(","), F.to_json(e)).alias("line"))
-    with open(path, "wb") as f:
-        f.write(b'{"nodes": [\n')
-        _append_ordered(n, ["node_ord", "id"], f, 1)
-        f.write(b'], "edges": [\n')
-        _append_ordered(e, ["edge_ord"], f, 1)
-        f.write(b"]}\n")
-
-
-def write_chunks(nodes: DataFrame, root: str, at: str, n: int) -> None:
-    """chunks.jsonl and metadata.json; ``n``: the number of topics, each of which is one chunk."""
-    c = lookup.text_chunks(nodes).join(nodes.where("kind = 'topic'").select("id", "node_ord"), "id")
-    line = F.to_json(F.struct("id", "title", "text", "topicType", "audience", "product", "okfNode"))
-    os.makedirs(os.path.join(root, "rag"), exist_ok=True)
-    with open(os.path.join(root, "rag", "chunks.jsonl"), "wb") as f:
-        _append_ordered(c.select("node_ord", "id", line.alias("line")), ["node_ord", "id"], f)
-    _put(os.path.join(root, "rag", "metadata.json"), json.dumps({"generated": {"by": PRODUCER, "at": at}, "chunkCount": n}, indent=2) + "\n")
-
-
-def write_index(nodes: DataFrame, root: str, at: str) -> None:
-    okf = os.path.join(root, "okf")
-    _put(os.path.join(okf, "okf.toml"), f'okf_version = "0.2"\ngenerator = "{PRODUCER}"\noutput = "."\n')
-    # titles may hold line ends, file names cannot
-    name = F.regexp_replace("id", _UNSAFE, "-")
-    name = F.when(name.startswith(".") | (name == ""), F.concat(F.lit("_"), name)).otherwise(name)
-    line = F.concat(F.lit("- ["), F.regexp_replace("title", r"\s+", " "), F.lit("]("), "kind", F.lit("s/"), name, F.lit(".md)"))
-    lines = nodes.select("node_ord", "id", "kind", line.alias("line"))
-    with open(os.path.join(okf, "index.md"), "wb") as f:
-        f.write(f'---\nokf_version: "0.2"\n---\n\n# Knowledge bundle\n\nGenerated {at} by {PRODUCER}.\n'.encode())
-        for kind, heading in (("map", "Maps"), ("topic", "Topics")):
-            f.write(f"\n## {heading}\n\n".encode())
-            _append_ordered(lines.where(F.col("kind") == kind), ["node_ord", "id"], f)
-
-
-def publish(nodes: DataFrame, edges: DataFrame, root: str, graph_json: bool = True, server: bool = False, at: datetime | None = None) -> tuple[dict, DataFrame]:
+    return edges.select("edge_ord", F.concat(F.lit(","), F.to_json(e)).alias("line"))
+
+
+def _sorted_parts(lines: DataFrame, order: list[str], path: str, *by: str) -> None:
+    """Sorted lines in parts, whose names are in the order of the lines."""
+    w = lines.orderBy(*order).select(*by, "line").write
+    (w.partitionBy(*by) if by else w).text(path)
+
+
+def _join_documents(spark, stage: str, parts: str, stamp: str, topics: int, graph_json: bool) -> None:
+    """The single-file documents, of the parts that were written."""
+    at = lambda doc: (f"{parts}/nodes/doc={doc}", 0)
+    head = f'---\nokf_version: "0.2"\n---\n\n# Knowledge bundle\n\nGenerated {stamp} by {PRODUCER}.\n'
+    join_files(spark, f"{stage}/okf/index.md", [head.encode(), b"\n## Maps\n\n", at("maps"), b"\n## Topics\n\n", at("topics")])
+    write_text(spark, f"{stage}/okf/okf.toml", f'okf_version = "0.2"\ngenerator = "{PRODUCER}"\noutput = "."\n')
+    join_files(spark, f"{stage}/rag/chunks.jsonl", [at("chunks")])
+    write_text(spark, f"{stage}/rag/metadata.json", json.dumps({"generated": {"by": PRODUCER, "at": stamp}, "chunkCount": topics}, indent=2) + "\n")
+    if graph_json:  # a line begins with a comma, which the first line must not have
+        join_files(spark, f"{stage}/graph.json", [b'{"nodes": [\n', (at("nodes")[0], 1), b'], "edges": [\n', (f"{parts}/edges", 1), b"]}\n"])
+
+
+def publish(nodes: DataFrame, edges: DataFrame, root: str, graph_json: bool = True, server: bool = False, at: datetime | None = None, tables: dict[str, DataFrame] | None = None) -> tuple[dict, DataFrame]:
     """Check the bundle, then write it. Returns (summary, findings); with an error among the findings
-    nothing is written: the bundle appears in ``root`` as a whole or not at all."""
+    nothing is written: the bundle appears in ``root`` as a whole or not at all. The former bundle is
+    moved aside before the new one takes its place, and is deleted only then. ``tables``: further ones
+    to write beside nodes and edges, by name."""
     stamp = (at or datetime.now(timezone.utc)).astimezone(timezone.utc).isoformat()
-    ship(nodes.sparkSession)
+    spark, root = nodes.sparkSession, root.rstrip("/")
+    ship(spark)
     n_seen, e_seen, f_seen = Observation(), Observation(), Observation()
     count = F.count(F.lit(1)).alias("n")
     # the writes depend on nothing but these tables, so they run side by side
@@ -185,27 +186,35 @@ def publish(nodes: DataFrame, edges: DataFrame, root: str, graph_json: bool = Tr
         two = pool.submit(cut, edges.observe(e_seen, count))
         nodes, edges = one.result(), two.result()
         files = cut(concepts(nodes, edges, stamp))
-        found = cut(check.findings(nodes, edges, files).observe(f_seen, F.count_if(F.col("severity") == "error").alias("errors")))
+        rag = _chunk_lines(nodes).select(F.lit("rag/chunks.jsonl").alias("file"), F.col("line").alias("content"))
+        found = cut(check.findings(nodes, edges, files, rag).observe(f_seen, F.count_if(F.col("severity") == "error").alias("errors")))
         topics = n_seen.get["topics"]
         summary = {"topics": topics, "maps": n_seen.get["n"] - topics, "edges": e_seen.get["n"], "chunks": 0, "errors": f_seen.get["errors"]}
         if summary["errors"]:
             return summary, found
-        stage = root.rstrip("/") + ".staging"
-        shutil.rmtree(stage, ignore_errors=True)
-        os.makedirs(os.path.join(stage, "okf"))
-        jobs = [pool.submit(_write_files, files, os.path.join(stage, "okf")), pool.submit(write_index, nodes, stage, stamp)]
-        jobs.append(pool.submit(write_chunks, nodes, stage, stamp, topics))
+        stage, parts = f"{root}.staging", f"{root}.staging.parts"
+        delete(spark, stage)
+        delete(spark, parts)
+        jobs = [pool.submit(_write_files, files, f"{stage}/okf")]
+        jobs.append(pool.submit(_sorted_parts, _node_lines(nodes).unionByName(_chunk_lines(nodes)), ["doc", "node_ord", "id"], f"{parts}/nodes", "doc"))
         if graph_json:
-            jobs.append(pool.submit(write_graph, nodes, edges, os.path.join(stage, "graph.json")))
-        jobs.append(pool.submit(nodes.write.parquet, os.path.join(stage, "tables", "nodes")))
-        for end in ("src", "dst"):
-            clustered = edges.repartitionByRange(end).sortWithinPartitions(end)
-            jobs.append(pool.submit(clustered.write.parquet, os.path.join(stage, "tables", f"edges_by_{end}")))
-        if server:
-            _put(os.path.join(stage, "mcp", "mcp-server.toml"), SERVER_CONFIG)
+            jobs.append(pool.submit(_sorted_parts, _edge_lines(edges), ["edge_ord"], f"{parts}/edges"))
+        for name, df, key in (("nodes", nodes, "id"), ("edges_by_src", edges, "src"), ("edges_by_dst", edges, "dst")):
+            jobs.append(pool.submit(df.repartitionByRange(key).sortWithinPartitions(key).write.parquet, f"{stage}/tables/{name}"))
+        for name, df in (tables or {}).items():
+            jobs.append(pool.submit(df.write.parquet, f"{stage}/tables/{name}"))
         for j in jobs:
             j.result()
+        _join_documents(spark, stage, parts, stamp, topics, graph_json)
+        delete(spark, parts)
+        if server:
+            write_text(spark, f"{stage}/mcp/mcp-server.toml", SERVER_CONFIG)
+        write_text(spark, f"{stage}/tables/built.json", json.dumps({"by": PRODUCER, "at": stamp}) + "\n")
         summary["chunks"] = topics
-    shutil.rmtree(root, ignore_errors=True)
-    os.replace(stage, root)
+    old = f"{root}.old"
+    delete(spark, old)
+    if exists(spark, root):
+        rename(spark, root, old)
+    rename(spark, stage, root)
+    delete(spark, old)
     return summary, found

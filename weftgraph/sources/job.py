@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -10,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..files import is_file, read_text, task_store
 from ..operators import resolve
 from ..schema import display_type
 from ..session import cut, ship
@@ -24,10 +24,10 @@ def edge_order(node_ord, link_class: int, ord_):
     return F.shiftleft(node_ord.cast("long"), 32) + F.lit(link_class << 29) + ord_.cast("long")
 
 
-def find_manifest(job_dir: str) -> str:
+def find_manifest(spark: SparkSession, job_dir: str) -> str:
     for name in (".job.xml", "job.xml"):
-        if os.path.isfile(os.path.join(job_dir, name)):
-            return os.path.join(job_dir, name)
+        if is_file(spark, f"{job_dir}/{name}"):
+            return f"{job_dir}/{name}"
     raise FileNotFoundError(f"no .job.xml or job.xml in {job_dir}")
 
 
@@ -45,8 +45,7 @@ def read_manifest(spark: SparkSession, job_dir: str) -> DataFrame:
 
     ship(spark)
     # read here, as Spark's readers skip names with a leading dot
-    with open(find_manifest(job_dir), encoding="utf-8-sig") as f:
-        whole = spark.createDataFrame([(f.read(),)], "value string")
+    whole = spark.createDataFrame([(read_text(spark, find_manifest(spark, job_dir)),)], "value string")
     return whole.mapInPandas(run, "ord long, path string, format string, src string, input boolean")
 
 
@@ -58,12 +57,26 @@ def root_map(manifest: DataFrame) -> str:
     return r["path"]
 
 
+FILES = 200  # files that one task reads, about
+
+
 def _contents(spark: SparkSession, job_dir: str, files: DataFrame) -> DataFrame:
-    """(ord, path, xml) of the files listed."""
-    base = os.path.abspath(job_dir).rstrip("/") + "/"
-    t = spark.read.option("recursiveFileLookup", "true").text(base, wholetext=True)
-    at = F.element_at(F.split(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), base, 2), 2)
-    return t.select(at.alias("path"), F.col("value").alias("xml")).join(files.select("ord", "path"), "path").select("ord", "path", "xml")
+    """(ord, path, xml) of the files listed, each read by the task that has its row; whatever else lies
+    in the folder is not touched. A file that is not there has no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = task_store(job_dir)
+        for b in batches:
+            for ord_, path in zip(b["ord"], b["path"]):
+                try:
+                    with store.open_input_stream(f"{base}/{path}") as f:
+                        yield pd.DataFrame({"ord": [ord_], "path": [path], "xml": [f.read()]})
+                except FileNotFoundError:
+                    continue
+
+    n = files.count()
+    spread = files.select("ord", "path").repartition(max(1, -(-n // FILES)), "path")
+    return spread.mapInPandas(run, "ord long, path string, xml binary")
 
 
 TOPIC_ROWS = (
@@ -77,7 +90,7 @@ def read_topics(spark: SparkSession, job_dir: str, manifest: DataFrame) -> DataF
     """One record a topic file. Reused content is known by source marks; which marks are other
     topics of the job is decided by a join, so no list of all files travels to the tasks."""
     files = manifest.where("format = 'dita'")
-    xml = _contents(spark, job_dir, files)
+    xml = cut(_contents(spark, job_dir, files))  # read twice below, from the source once
 
     def marks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -107,18 +120,20 @@ MAP_ROWS = "row string, id string, title string, source_file string, kind string
 def read_map(spark: SparkSession, job_dir: str, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for xml in b["value"]:
+            for xml in b["xml"]:
                 m, rows = xml_parse.parse_map(path, xml)
                 none = {"kind": None, "container": None, "target": None, "level": 0, "keys": []}
                 out = [{"row": "map", **m, **none, "ord": -1}]
                 out += [{"row": "ref", "id": None, "title": None, "source_file": path, **r, "ord": i} for i, r in enumerate(rows)]
                 yield pd.DataFrame(out)
 
-    return spark.read.text(os.path.join(job_dir, path), wholetext=True).mapInPandas(run, MAP_ROWS)
+    one = spark.createDataFrame([(0, path)], "ord long, path string")
+    return _contents(spark, job_dir, one).mapInPandas(run, MAP_ROWS)
 
 
 def extract(spark: SparkSession, job_dir: str, depth: int | None = None, include_drafts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, diagnostics) of a job folder; ``depth`` cuts the levels of containment."""
+    job_dir = job_dir.rstrip("/") or "/"
     manifest = cut(read_manifest(spark, job_dir))
     map_path = root_map(manifest)
     refs = cut(read_map(spark, job_dir, map_path))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import glob
 import json
 import os
 import tomllib
@@ -12,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..files import exists, names_in
 from ..schema import MODEL, RELATIONS, TOPIC_TYPES, display_type, strings
 from ..session import cut, ship
 from .job import edge_order
@@ -40,7 +40,7 @@ def read_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def read_graph(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     """(nodes (id, okf_type, node_ord), edges) of a flattened graph; of repeated ids the last counts."""
     schema = "nodes array<struct<id: string, type: string>>, edges array<struct<`from`: string, `to`: string, relation: string>>"
-    g = spark.read.schema(schema).json(os.path.join(root, "graph.json"), multiLine=True, mode="FAILFAST")
+    g = spark.read.schema(schema).json(f"{root}/graph.json", multiLine=True, mode="FAILFAST")
     n = g.select(F.posexplode("nodes").alias("p", "n")).groupBy("n.id").agg(F.max_by("n.type", "p").alias("okf_type"), F.max("p").cast("long").alias("node_ord"))
     e = g.select(F.posexplode("edges").alias("p", "e"))
     return n, e.select(F.col("e.from").alias("src"), F.col("e.to").alias("dst"), F.col("e.relation").alias("relation"), F.col("p").cast("long").alias("edge_ord"))
@@ -51,8 +51,8 @@ CHUNK = "id string, title string, text string, topicType string, audience array<
 
 def read_chunks(spark: SparkSession, root: str) -> DataFrame:
     """The text index; empty where there is none. Blank lines are skipped, bad lines fail."""
-    path = os.path.join(root, "rag", "chunks.jsonl")
-    if not os.path.exists(path):
+    path = f"{root}/rag/chunks.jsonl"
+    if not exists(spark, path):
         return spark.createDataFrame([], CHUNK)
     lines = spark.read.text(path).where(F.trim("value") != "")
     return lines.select(F.from_json("value", CHUNK, {"mode": "FAILFAST"}).alias("c")).select("c.*")
@@ -84,11 +84,23 @@ def read_front_matter(head: str) -> dict[str, str]:
     return out
 
 
+def read_relations(head: str) -> list[str]:
+    """The targets that the front matter lists under ``relations``, in order."""
+    out, inside = [], False
+    for line in head.split("\n"):
+        if not line.startswith((" ", "-")):
+            inside = line.rstrip() == "relations:"
+        elif inside and line.lstrip().startswith("- "):
+            out.append(_scalar(line.lstrip()[2:].strip()))
+    return out
+
+
 def read_concepts(spark: SparkSession, root: str) -> DataFrame:
-    """(file, kind, id, okf_type, title, shortdesc, content) of the concept files of a bundle."""
+    """(file, kind, id, okf_type, title, shortdesc, okf_version, relations, content) of the concept
+    files of a bundle."""
     ship(spark)
-    folders = [p for p in (os.path.join(root, "okf", k) for k in ("topics", "maps")) if glob.glob(os.path.join(p, "*.md"))]
-    schema = "file string, kind string, id string, okf_type string, title string, shortdesc string, content string"
+    folders = [p for p in (f"{root}/okf/{k}" for k in ("topics", "maps")) if any(n.endswith(".md") for n in names_in(spark, p))]
+    schema = "file string, kind string, id string, okf_type string, title string, shortdesc string, okf_version string, relations array<string>, content string"
     if not folders:
         return spark.createDataFrame([], schema)
     t = spark.read.option("pathGlobFilter", "*.md").text(folders, wholetext=True).select(F.col("_metadata.file_path").alias("p"), "value")
@@ -101,11 +113,12 @@ def read_concepts(spark: SparkSession, root: str) -> DataFrame:
             for p, text in zip(b["p"], b["value"]):
                 folder, name = unquote(p).rsplit("/", 2)[1:]
                 try:
-                    f = read_front_matter(split_concept(text)[0])
+                    head = split_concept(text)[0]
+                    f, targets = read_front_matter(head), read_relations(head)
                 except ValueError:
-                    f = {}
-                rows.append((f"{folder}/{name}", folder[:-1], f.get("id") or name[:-3], f.get("type"), f.get("title"), f.get("description"), text))
-            yield pd.DataFrame(rows, columns=["file", "kind", "id", "okf_type", "title", "shortdesc", "content"])
+                    f, targets = {}, []
+                rows.append((f"{folder}/{name}", folder[:-1], f.get("id") or name[:-3], f.get("type"), f.get("title"), f.get("description"), f.get("okf_version"), targets, text))
+            yield pd.DataFrame(rows, columns=["file", "kind", "id", "okf_type", "title", "shortdesc", "okf_version", "relations", "content"])
 
     return t.mapInPandas(run, schema)
 

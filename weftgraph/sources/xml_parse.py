@@ -53,12 +53,12 @@ def _first_text(root, tag: str) -> str | None:
     return None
 
 
-def foreign_marks(xml: str) -> list[str]:
+def foreign_marks(xml: bytes) -> list[str]:
     """All distinct source marks in a topic; which of them are other files is found by a join."""
     return sorted({el.get("xtrf") for el in ElementTree.fromstring(xml).iter() if el.get("xtrf")})
 
 
-def parse_topic(path: str, xml: str, sources: dict[str, str]) -> dict:
+def parse_topic(path: str, xml: bytes, sources: dict[str, str]) -> dict:
     """A topic's record. ``sources``: the file of each source mark that is one of the job's topics."""
     root = ElementTree.fromstring(xml)
     kind = root.tag if root.tag in BODY else "topic"
@@ -115,7 +115,7 @@ def parse_topic(path: str, xml: str, sources: dict[str, str]) -> dict:
     }
 
 
-def parse_map(path: str, xml: str) -> tuple[dict, list[dict]]:
+def parse_map(path: str, xml: bytes) -> tuple[dict, list[dict]]:
     """(map record, rows). Rows: ``kind`` contains or navref, ``container`` (null: the map),
     ``target``, ``level``, ``keys``, in the order of the walk."""
     root = ElementTree.fromstring(xml)
