@@ -11,12 +11,11 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, drop_cut, write_cut
@@ -28,13 +27,6 @@ WORD_MISS = 3e-4  # share of pairs at the threshold that the radius may cost
 SEEN = 50_000  # classes a task remembers, so as not to send the bands of further copies
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop shuffle files of finished phases; it does so when its driver's JVM collects
-    what refers to them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _sets(texts: list[str], width: int, least: int):
     """(numbers of the texts with enough shingles, their class, set sizes, set number, hash) by block."""
     for a, b in blocks(texts):
@@ -85,15 +77,17 @@ def text_classes(df: DataFrame, key: str, text: Column, width: int, least: int)
     return df.select(F.col(f"`{key}`").alias("id"), text.alias("t")).where("id is not null and t is not null").mapInPandas(run, schema)
 
 
-def _bucket_pairs(b: DataFrame, radius: int) -> DataFrame:
+def _bucket_pairs(firsts: DataFrame, radius: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of different classes that meet in a bucket and whose words lie
-    within the radius, from rows (key, cls, word). Both sides of the join read one shuffle; AQE
-    splits buckets that are skewed."""
-    # a class that several tasks have met stands in a bucket once; this needs no shuffle of its own
-    b = b.repartition("key").distinct()
+    within the radius, from rows (cls, word, bands), one a class.
+
+    Both sides of the join read one shuffle, and directly, so that a bucket that holds a great share
+    of all classes is split at run time; no estimate knows how many rows the bands make, hence never a
+    broadcast."""
+    b = firsts.select(F.explode("bands").alias("key"), "cls", "word")
     x, y = (b.select("key", F.col("cls").alias(c), F.col("word").alias(f"w{c}")) for c in "ab")
     near = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= radius
-    return x.join(y, "key").where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct()
+    return x.hint("merge").join(y, "key").where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, text: Column, width: int = 5, threshold: float = 0.8, least: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -112,11 +106,13 @@ def near_duplicates(df: DataFrame, key: str, text: Column, width: int = 5, thres
     found = text_classes(df, key, text, width, least)
     path = write_cut(found)
     found = spark.read.schema(found.schema).parquet(path)
-    firsts = found.where("bands is not null")
-    close = cut(_bucket_pairs(firsts.select(F.explode("bands").alias("key"), "cls", "word"), radius_for(threshold, WORD_MISS)))
     classes = cut(found.select("id", "cls"))
-    drop_cut(spark, path)  # the bands are not needed any more
-    release(spark)
+    # a class that several tasks have met is made one before its bands part, so a bucket holds it once
+    once = found.where("bands is not null").select("cls", "word", "bands").repartition("cls").dropDuplicates(["cls"])
+    firsts = write_cut(once)
+    drop_cut(spark, path)  # each table goes as soon as the next is there, so that little lies side by side
+    close = cut(_bucket_pairs(spark.read.schema(once.schema).parquet(firsts), radius_for(threshold, WORD_MISS)))
+    drop_cut(spark, firsts)
 
     # exact sets of one text of each class that is left
     wanted = close.select(F.col("a").alias("cls")).union(close.select("b")).distinct()
@@ -126,7 +122,7 @@ def near_duplicates(df: DataFrame, key: str, text: Column, width: int = 5, thres
     sets = sets.groupBy("cls").agg(F.first("els").alias("els"))
     x, y = (sets.select(F.col("cls").alias(c), F.col("els").alias(f"e{c}")) for c in "ab")
     both = F.size(F.array_intersect("ea", "eb"))
-    exact = close.join(x, "a").join(y, "b").withColumn("both", both)
+    exact = close.hint("merge").join(x, "a").hint("merge").join(y, "b").withColumn("both", both)
     exact = exact.withColumn("similarity", F.col("both") / (F.size("ea") + F.size("eb") - F.col("both")))
     exact = exact.where(F.col("similarity") >= threshold).select(F.col("a").alias("cls_a"), F.col("b").alias("cls_b"), "similarity")
     return classes.select("id", "cls").distinct(), cut(exact)
@@ -137,10 +133,10 @@ def _exact_sets(df: DataFrame, width: int, least: int) -> DataFrame:
         for batch in batches:
             for at, cls, _, d, h in _sets(batch["_t"].tolist(), width, least):
                 if len(at):
-                    els = np.split((h >> np.uint64(18)).astype(np.uint32).view(np.int32), np.flatnonzero(np.diff(d)) + 1)
+                    els = np.split(h.view(np.int64), np.flatnonzero(np.diff(d)) + 1)
                     yield pd.DataFrame({"cls": cls, "els": els})
 
-    return df.select("_t").mapInPandas(run, "cls long, els array<int>")
+    return df.select("_t").mapInPandas(run, "cls long, els array<long>")
 
 
 def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:

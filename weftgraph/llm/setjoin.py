@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .neardup import release
 from .probminhash import radius_for
 
 SEGMENT_BITS, WORD = 16, 64
@@ -103,7 +102,6 @@ def similar_sets(records: DataFrame, key: str, values: str, threshold: float = 0
     b = index.select("key", F.col("cls").alias("b"), F.col("word").alias("wb"))
     near = F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= radius
     pairs = cut(a.hint("merge").join(b, "key").where(F.col("a") < F.col("b")).where(near).select("a", "b").distinct())
-    release(records.sparkSession)
     x, y = classes.select(F.col("cls").alias("a"), F.col("v").alias("va")), classes.select(F.col("cls").alias("b"), F.col("v").alias("vb"))
     both = F.size(F.array_intersect("va", "vb"))
     links = pairs.hint("merge").join(x, "a").hint("merge").join(y, "b").withColumn("both", both)
