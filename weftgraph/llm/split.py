@@ -69,28 +69,51 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = 2000, overlap:
     their names, are left out; no name is used twice as the input is narrowed to two columns first.
     """
     kt = df.schema[key].dataType.simpleString()
-    c = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).select("k", cuts(F.col("t"), limit, overlap).alias("c"))
-    c = c.where(F.col("c").isNotNull())
-    zero = F.array(F.lit(0))
-    c = c.withColumn("off", F.aggregate("c", zero, lambda a, x: F.array_append(a, F.element_at(a, -1) + F.length(x))))
-    p = c.select("k", "c", "off", F.posexplode(F.sequence(F.lit(1), F.size("c"))).alias("p", "i"))
-    own = F.element_at("c", F.col("i"))
-    head = F.when(F.col("i") > 1, _overlap(F.element_at("c", F.greatest(F.col("i") - 1, F.lit(1))), overlap)).otherwise(F.lit(""))
-    if overlap == 0:
-        head = F.lit("")
-    p = p.select("k", "i", F.size("c").alias("n"), F.element_at("off", F.col("i")).alias("cut_char"), head.alias("h"), own.alias("o"))
-    return p.select(
+    c = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).where("t is not null")
+    c = c.select("k", cuts(F.col("t"), limit, overlap).alias("c"))
+    # each cut with its place and the end of the one before it, so that a row of the result holds its
+    # own piece only. The outer form of explode keeps Spark from filtering on the computed array,
+    # for which it would make it twice
+    before = F.concat(F.array(F.lit("")), F.slice("c", 1, F.size("c") - 1))
+    heads = F.transform(before, lambda x: _overlap(x, overlap)) if overlap else F.transform("c", lambda x: F.lit(""))
+    c = c.select("k", "c", F.size("c").alias("n"), F.transform("c", lambda x: F.length(x)).alias("len"))
+    c = c.withColumn("sums", _block_sums("len")).withColumn("sums", F.transform("sums", lambda _, b: _total(F.slice("sums", 1, b))))
+    c = c.select("k", "n", F.posexplode_outer(F.arrays_zip(heads.alias("h"), F.col("c").alias("o"), _places("len", "sums").alias("at"))).alias("i", "x"))
+    c = c.select("k", "n", "i", F.col("x.h").alias("h"), F.col("x.o").alias("o"), F.col("x.at").alias("at"))
+    return c.select(
         F.col("k").cast(kt).alias(key),
-        F.col("i").cast("int").alias("piece_no"),
+        (F.col("i") + 1).cast("int").alias("piece_no"),
         F.col("n").cast("int").alias("n_pieces"),
-        (F.col("cut_char") - F.length("h")).cast("int").alias("start_char"),
-        F.col("cut_char").cast("int").alias("cut_char"),
-        (F.col("cut_char") + F.length("o")).cast("int").alias("end_char"),
+        (F.col("at") - F.length("h")).cast("int").alias("start_char"),
+        F.col("at").cast("int").alias("cut_char"),
+        (F.col("at") + F.length("o")).cast("int").alias("end_char"),
         F.concat("h", "o").alias("piece"),
     )
 
 
+_BLOCK = 64  # numbers of a block of prefix sums
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def _block_sums(numbers: str) -> Column:
+    """The sum of each block of numbers. With the sums of all blocks before it a prefix sum looks at
+    one block only, so the work stays about in proportion to the numbers."""
+    last = F.floor((F.size(numbers) - 1) / _BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: _total(F.slice(numbers, b * _BLOCK + 1, _BLOCK)))
+
+
+def _places(numbers: str, sums: str) -> Column:
+    """The sum of all numbers before each."""
+    block = lambda i: F.floor(i / _BLOCK).cast("int")
+    return F.transform(numbers, lambda _, i: F.element_at(sums, block(i) + 1) + _total(F.slice(numbers, block(i) * _BLOCK + 1, i % _BLOCK)))
+
+
 def divided(df: DataFrame, key: str, text: str, limit: int = 2000, overlap: int = 150) -> DataFrame:
     """The keys of the texts that :func:`cuts` divides, each once, with their number of pieces."""
-    c = df.select(F.col(f"`{key}`").alias(key), F.size(cuts(F.col(f"`{text}`"), limit, overlap)).alias("n_pieces"))
-    return c.where(F.col("n_pieces") > 1).groupBy(key).agg(F.max("n_pieces").alias("n_pieces"))
+    long = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_t")).where(F.length("_t") > limit)
+    c = long.select(key, F.size(cuts(F.col("_t"), limit, overlap)).alias("n_pieces"))
+    # the count is looked at only once it is made, so no filter on it makes the cuts a second time
+    return c.groupBy(key).agg(F.max("n_pieces").alias("n_pieces")).where("n_pieces > 1")
