@@ -45,26 +45,43 @@ def term_candidates(nodes: DataFrame) -> DataFrame:
     return use.join(many, "term", "left_semi").select("term", F.col("id").alias("ref_id"))
 
 
+BLOCK = 2000  # topics of a product that one task compares with as many others
+
+
 def products(nodes: DataFrame) -> DataFrame:
-    return nodes.where("kind = 'topic'").select("id", F.explode(F.array_distinct("product")).alias("value")).where("value is not null")
+    """(id, ord, v, value): a row for each product of a topic; v has all of them."""
+    t = nodes.where("kind = 'topic'").select("id", F.col("node_ord").alias("ord"), F.array_distinct(F.array_compact("product")).alias("v"))
+    return t.select("id", "ord", "v", F.explode("v").alias("value"))
 
 
 def related_to(nodes: DataFrame, edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
-    """(src, dst) in both directions for topics that share a product and are not linked yet.
+    """(src, dst, src_ord, dst_ord) in both directions for topics that share a product and are not
+    linked yet; ``ord`` is the place of a node.
 
     The result is quadratic in the topics of a product. ``of`` (column ``id``) restricts one end to
     a stated set, e.g. the topics of a query; without it all pairs are made, as is right for small
-    bundles only: for large ones use :func:`related_counts` and the product table itself, which holds
-    the relation in linear space.
+    bundles only: for large ones :func:`related_members`, :func:`related_classes` and
+    :func:`related_exceptions` hold the relation in little space.
+
+    The topics of a product are cut into blocks and every pair of blocks is a task's work, so that one
+    product of all topics is spread over all tasks. A pair is made at the least product it shares, so
+    none has to be taken out again.
     """
     p = products(nodes)
+    blocks = p.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("g"))
+    p = p.join(blocks, "value").withColumn("own", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     q = p if of is None else p.join(of.select("id").distinct(), "id", "left_semi")
-    pairs = q.select(F.col("id").alias("src"), "value").join(p.select(F.col("id").alias("dst"), "value"), "value").where("src <> dst")
-    pairs = pairs.select("src", "dst").distinct()
+    every = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    a = q.select("value", F.col("own").alias("i"), every.alias("j"), F.col("id").alias("src"), F.col("ord").alias("src_ord"), F.col("v").alias("va"))
+    b = p.select("value", every.alias("i"), F.col("own").alias("j"), F.col("id").alias("dst"), F.col("ord").alias("dst_ord"), F.col("v").alias("vb"))
+    pairs = a.hint("merge").join(b, ["value", "i", "j"]).where("src <> dst")
+    one = F.size("va") == 1
+    pairs = pairs.where(one | (F.size("vb") == 1) | (F.array_min(F.array_intersect("va", "vb")) == F.col("value")))
+    pairs = pairs.select("src", "dst", "src_ord", "dst_ord")
     if of is not None:
-        pairs = pairs.union(pairs.select(F.col("dst"), F.col("src"))).distinct()
+        pairs = pairs.union(pairs.select("dst", "src", "dst_ord", "src_ord")).distinct()
     pairs = pairs.withColumn("lo", F.least("src", "dst")).withColumn("hi", F.greatest("src", "dst"))
-    return pairs.join(connected_pairs(edges), ["lo", "hi"], "left_anti").select("src", "dst")
+    return pairs.join(connected_pairs(edges), ["lo", "hi"], "left_anti").select("src", "dst", "src_ord", "dst_ord")
 
 
 def _product_sets(nodes: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_id, file_stem
 from ..operators import check, hierarchy, infer, lookup, orphans, perkey, resolve, reuse, search, traverse
 from ..session import table
+from ..sinks import bundle
+from ..sources import job, xml_parse
 from ..streaming import incremental
 from . import testbed
 from .oracle import ORACLE as _REFERENCE
@@ -150,11 +152,17 @@ def related_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def infer_related_to(spark: SparkSession, d: str) -> DataFrame:
-    """Related-to edges of the topics that the first map contains; the whole relation is in
-    ``related_members``, ``related_classes`` and ``related_exceptions``."""
-    of = table(spark, d, "maps").join(_first_map(spark, d), "id", "left_semi").select(F.explode("links").alias("l"))
-    of = of.select(base_id(F.col("l.target_id")).alias("id")).distinct()
-    return infer.related_to(testbed.nodes(spark, d), testbed.edges(spark, d), of)
+    """The related-to relation of all topics, whole and in the space of its classes: rows ``member``
+    (topic, class of equal product sets), ``link`` (two classes that share a product, one with itself
+    where it has several members), ``linked`` (pairs that an edge connects already). Members of linked
+    classes are related in both directions, except the pairs linked already."""
+    n = testbed.nodes(spark, d)
+    parts = (("member", infer.related_members(n)), ("link", infer.related_classes(n)), ("linked", infer.related_exceptions(n, testbed.edges(spark, d))))
+    out = None
+    for part, df in parts:
+        df = df.toDF("a", "b").select(F.lit(part).alias("part"), "a", "b")
+        out = df if out is None else out.unionByName(df)
+    return out
 
 
 def related_members(spark: SparkSession, d: str) -> DataFrame:
@@ -191,11 +199,68 @@ def unresolved_links(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve_links(_topic_links(spark, d), ids)[1].select("subject", "message").distinct()
 
 
-def dedup_ids(spark: SparkSession, d: str) -> DataFrame:
-    """Ids from file names: owners in order of the topics' ids."""
+def _topic_files(spark: SparkSession, d: str) -> DataFrame:
+    """(id, path, ord) of the topics' files: ids from file names, claimed in order of the topics' ids."""
     t = table(spark, d, "topics").select("id", "source_file").distinct()
-    t = t.select(file_stem(F.col("source_file")).alias("id"), F.col("source_file").alias("path"), F.col("id").alias("ord"))
-    return resolve.disambiguate(t)[0].select("id", "path", F.col("ord").alias("topic_id"))
+    return t.select(file_stem(F.col("source_file")).alias("id"), F.col("source_file").alias("path"), F.col("id").alias("ord"))
+
+
+def dedup_ids(spark: SparkSession, d: str) -> DataFrame:
+    return resolve.disambiguate(_topic_files(spark, d))[0].select("id", "path", F.col("ord").alias("topic_id"))
+
+
+def dedup_ids_planted(spark: SparkSession, d: str) -> DataFrame:
+    """The same with files whose own ids are those that renamed topics would get: for each later owner
+    of an id one that comes before all topics, and one with ``-2`` right after it."""
+    f = _topic_files(spark, d)
+    late = f.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("n > 1")
+    long = F.concat("id", F.lit("--"), F.translate("path", "/", "-"))
+    first = late.select(long.alias("id"), F.concat(F.lit("first/"), "path").alias("path"), F.concat(F.lit("0"), "ord").alias("ord"))
+    last = late.select(F.concat(long, F.lit("-2")).alias("id"), F.concat(F.lit("last/"), "path").alias("path"), F.concat("ord", F.lit("~")).alias("ord"))
+    return resolve.disambiguate(f.unionByName(first).unionByName(last))[0].select("id", "path", F.col("ord").alias("topic_id"))
+
+
+def contained(spark: SparkSession, d: str) -> DataFrame:
+    """Containment by all maps, resolved: a target listed twice counts twice."""
+    m = table(spark, d, "maps").dropDuplicates(["id"]).select("id", F.posexplode("links").alias("ord", "l")).where("l.relation = 'contains'")
+    raw = m.select(F.col("id").alias("src_path"), base_id(F.col("l.target_id")).alias("target_path"), F.col("ord").cast("int").alias("ord"))
+    ids = testbed.nodes(spark, d).select(F.col("id").alias("path"), "id").distinct()
+    return resolve.resolve_containment(raw, ids, "")[0]
+
+
+def reused(spark: SparkSession, d: str) -> DataFrame:
+    ids = testbed.nodes(spark, d).select(F.col("id").alias("path"), "id").distinct()
+    raw = _topic_links(spark, d).where("relation = 'generated-from'")
+    return resolve.resolve_reuse(raw, ids).withColumn("ord", F.col("ord").cast("int"))
+
+
+def graph_edge_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of the edges in the flattened graph."""
+    return bundle.edge_lines(testbed.edges(spark, d))
+
+
+def edges_into_targets(spark: SparkSession, d: str) -> DataFrame:
+    """All edges into the target that most edges name."""
+    e = testbed.edges(spark, d)
+    hub = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dst").first()
+    return traverse.edges_to(e, hub["dst"] if hub else "")
+
+
+def xml_topics(spark: SparkSession, d: str) -> DataFrame:
+    """What the XML reader makes of all topics, written as XML by a column expression."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    body = F.create_map(*[F.lit(x) for kv in xml_parse.BODY.items() for x in kv])[F.col("topic_type")]
+    controls = F.array_join(F.transform("uicontrols", lambda x: F.concat(F.lit(" <uicontrol>"), esc(x), F.lit("</uicontrol>"))), "")
+    tag = lambda name, c: F.concat(F.lit("<"), name, F.lit(">"), c, F.lit("</"), name, F.lit(">"))
+    n = testbed.nodes(spark, d).where("kind = 'topic'")
+    xml = F.concat(
+        F.lit("<"), "topic_type", F.lit(' id="'), esc(F.col("id")), F.lit('" audience="'), esc(F.array_join("audience", " ")), F.lit('">'),
+        tag(F.lit("title"), esc(F.col("title"))), F.coalesce(tag(F.lit("shortdesc"), esc(F.col("shortdesc"))), F.lit("")),
+        tag(body, F.concat(F.coalesce(esc(F.col("body")), F.lit("")), controls)), F.lit("</"), "topic_type", F.lit(">"),
+    )
+    files = n.select(F.monotonically_increasing_id().alias("ord"), F.col("id").alias("path"), F.encode(xml, "UTF-8").alias("xml"))
+    t = job.parse_topics(files.withColumn("known", F.lit(None).cast(job.KNOWN)))
+    return t.select("id", "topic_type", "title", "shortdesc", "body", F.array_join("audience", "|").alias("audience"), F.array_join("uicontrols", "|").alias("uicontrols"))
 
 
 def generated_from(spark: SparkSession, d: str) -> DataFrame:
@@ -243,12 +308,35 @@ def secret_scan(spark: SparkSession, d: str) -> DataFrame:
     return check.secret_scan(table(spark, d, "documents"), "doc_id", "text")
 
 
+def secret_scan_planted(spark: SparkSession, d: str) -> DataFrame:
+    """The scan of all documents, four in five of which got a secret of one of the kinds; the parts of
+    a secret stand apart here, so that this file holds none."""
+    k = F.col("doc_id")
+    plant = (
+        F.when(k % 5 == 0, F.concat(F.lit("AK"), F.lit("IA"), F.lpad(F.hex(k), 16, "0")))
+        .when(k % 5 == 1, F.concat(F.lit("-----BEGIN "), F.lit("EC PRIVATE KEY-----")))
+        .when(k % 5 == 2, F.concat(F.lit("gh"), F.lit("o_"), F.lpad(k.cast("string"), 36, "x")))
+        .when(k % 5 == 3, F.concat(F.lit("xo"), F.lit("xp-"), F.lpad(k.cast("string"), 12, "0")))
+        .otherwise(F.lit("akia"))
+    )
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", F.lit("\n"), plant).alias("text"))
+    return check.secret_scan(docs, "doc_id", "text")
+
+
 def suggest_id(spark: SparkSession, d: str) -> DataFrame:
     """Suggestions for the file names of all topics, where they are no ids themselves."""
     asked = table(spark, d, "topics").select(F.regexp_replace("source_file", "/", "-").alias("id"))
     return lookup.suggest_ids(testbed.nodes(spark, d), asked)
 
 
+def suggest_id_planted(spark: SparkSession, d: str) -> DataFrame:
+    """Suggestions where each topic has a namesake with a tail of two parts, which is asked for."""
+    tail = F.concat("topic_type", F.lit("--"), F.regexp_extract("id", "[^-]*$", 0))
+    t = table(spark, d, "topics").select("id", tail.alias("tail")).distinct()
+    nodes = testbed.nodes(spark, d).select("id").union(t.select(F.concat("id", F.lit("--"), "tail")))
+    return lookup.suggest_ids(nodes, t.select(F.col("tail").alias("id")))
+
+
 def explain(spark: SparkSession, d: str) -> DataFrame:
     """Explanation of every task."""
     n = testbed.nodes(spark, d)
@@ -293,6 +381,12 @@ QUERIES = {
     "resolve_links": resolve_links,
     "unresolved_links": unresolved_links,
     "dedup_ids": dedup_ids,
+    "dedup_ids_planted": dedup_ids_planted,
+    "contained": contained,
+    "reused": reused,
+    "graph_edge_lines": graph_edge_lines,
+    "edges_into_targets": edges_into_targets,
+    "xml_topics": xml_topics,
     "generated_from": generated_from,
     "canonical_body": canonical_body,
     "text_chunks": text_chunks,
@@ -304,7 +398,9 @@ QUERIES = {
     "redundant_links": redundant_links,
     "duplicate_ids": duplicate_ids,
     "secret_scan": secret_scan,
+    "secret_scan_planted": secret_scan_planted,
     "suggest_id": suggest_id,
+    "suggest_id_planted": suggest_id_planted,
     "explain": explain,
     "summary": summary,
     "index_changes": index_changes,
@@ -345,10 +441,8 @@ ORACLE = {
     "p5_descendants": f"""
         WITH RECURSIVE {_CONTAINS},
         w(a, b, d) AS (SELECT p, c, 1 FROM e UNION SELECT w.a, e.c, w.d + 1 FROM w JOIN e ON e.p = w.b WHERE w.d < 60),
-        m AS (SELECT a, b, min(d) AS d FROM w GROUP BY ALL), cyc AS (SELECT a FROM m WHERE a = b),
-        bad AS (SELECT a FROM m WHERE b IN (SELECT a FROM cyc) UNION SELECT a FROM cyc)
-        SELECT a AS node_id, count(*) AS n_descendants, max(d) AS height FROM m
-        WHERE a NOT IN (SELECT a FROM bad) OR a IN (SELECT id FROM roots) GROUP BY a""",
+        m AS (SELECT a, b, min(d) AS d FROM w GROUP BY ALL)
+        SELECT a AS node_id, count(*) AS n_descendants, max(d) AS height FROM m GROUP BY a""",
     "p5_descendant_rows": f"""
         WITH RECURSIVE {_CONTAINS},
         w(a, b, d) AS (SELECT p, c, 1 FROM e UNION SELECT w.a, e.c, w.d + 1 FROM w JOIN e ON e.p = w.b WHERE w.d < 60)

@@ -147,7 +147,7 @@ def _chunk_lines(nodes: DataFrame) -> DataFrame:
     return c.select(F.lit("chunks").alias("doc"), "node_ord", "id", _line("id", "title", "text", "topicType", "audience", "product", "okfNode").alias("line"))
 
 
-def _edge_lines(edges: DataFrame) -> DataFrame:
+def edge_lines(edges: DataFrame) -> DataFrame:
     e = F.struct(F.col("src").alias("from"), F.col("dst").alias("to"), "relation")
     return edges.select("edge_ord", F.concat(F.lit(","), F.to_json(e)).alias("line"))
 
@@ -198,7 +198,7 @@ def publish(nodes: DataFrame, edges: DataFrame, root: str, graph_json: bool = Tr
         jobs = [pool.submit(_write_files, files, f"{stage}/okf")]
         jobs.append(pool.submit(_sorted_parts, _node_lines(nodes).unionByName(_chunk_lines(nodes)), ["doc", "node_ord", "id"], f"{parts}/nodes", "doc"))
         if graph_json:
-            jobs.append(pool.submit(_sorted_parts, _edge_lines(edges), ["edge_ord"], f"{parts}/edges"))
+            jobs.append(pool.submit(_sorted_parts, edge_lines(edges), ["edge_ord"], f"{parts}/edges"))
         for name, df, key in (("nodes", nodes, "id"), ("edges_by_src", edges, "src"), ("edges_by_dst", edges, "dst")):
             jobs.append(pool.submit(df.repartitionByRange(key).sortWithinPartitions(key).write.parquet, f"{stage}/tables/{name}"))
         for name, df in (tables or {}).items():

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..files import is_file, read_text, task_store
@@ -100,6 +100,15 @@ def read_topics(spark: SparkSession, job_dir: str, manifest: DataFrame) -> DataF
     found = xml.select("path", "xml").mapInPandas(marks, "path string, src string")
     origin = files.where("src <> ''").select("src", F.col("path").alias("origin"))
     known = found.join(origin, "src").groupBy("path").agg(F.collect_list(F.struct("src", "origin")).alias("known"))
+    return parse_topics(xml.join(known, "path", "left"))
+
+
+KNOWN = "array<struct<src: string, origin: string>>"
+
+
+def parse_topics(files: DataFrame) -> DataFrame:
+    """Records of topic files (ord, path, xml, known); ``known``: the file of each source mark that is
+    one of the job's topics."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -111,7 +120,8 @@ def read_topics(spark: SparkSession, job_dir: str, manifest: DataFrame) -> DataF
                 out.append(r)
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TOPIC_ROWS.split(", ") if ":" not in c or c.startswith("links")])
 
-    return xml.join(known, "path", "left").select("ord", "path", "xml", "known").mapInPandas(run, TOPIC_ROWS)
+    ship(files.sparkSession)
+    return files.select("ord", "path", "xml", "known").mapInPandas(run, TOPIC_ROWS)
 
 
 MAP_ROWS = "row string, id string, title string, source_file string, kind string, container string, target string, level int, keys array<string>, ord long"
@@ -187,16 +197,15 @@ def with_inferred(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     """(edges, diagnostics): applies-to first, then related-to, which sees the edges of the former."""
     from ..operators import infer
 
-    order = nodes.groupBy(F.col("id").alias("src")).agg(F.max("node_ord").alias("node_ord"))
-    other = order.select(F.col("src").alias("dst"), F.col("node_ord").alias("dst_ord"))
+    order = nodes.groupBy("id").agg(F.max("node_ord").alias("ord"))
+    src, dst = (order.select(F.col("id").alias(end), F.col("ord").alias(f"{end}_ord")) for end in ("src", "dst"))
 
     def placed(e: DataFrame, relation: str, cls: int) -> DataFrame:
-        w = Window.partitionBy("src").orderBy("dst_ord", "dst")
-        e = e.join(order, "src").join(other, "dst").withColumn("ord", F.row_number().over(w))
-        return e.select("src", "dst", F.lit(relation).alias("relation"), edge_order(F.col("node_ord"), cls, F.col("ord")).alias("edge_ord"))
+        # edges of one class leave a node in the order of their targets, so the target's place is theirs
+        return e.select("src", "dst", F.lit(relation).alias("relation"), edge_order(F.col("src_ord"), cls, F.col("dst_ord")).alias("edge_ord"))
 
     new, ambiguous = infer.applies_to(nodes, edges)
-    one = cut(edges.unionByName(placed(new, "applies-to", APPLIES)))
+    one = cut(edges.unionByName(placed(new.join(src, "src").join(dst, "dst"), "applies-to", APPLIES)))
     two = one.unionByName(placed(infer.related_to(nodes, one), "related-to", RELATED))
     notes = ambiguous.select(
         F.lit("010W").alias("id"), F.lit("warning").alias("severity"),
