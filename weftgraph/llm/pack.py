@@ -11,10 +11,12 @@ so the driver handles no item; each item finds its container from its rank in it
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS, SPREAD = 128, 256
+BUCKETS = 128
+SHARE = 500_000  # items of a bucket that one task ranks, about
 
 
 def bucket_bounds(lengths: np.ndarray, counts: np.ndarray, k: int = BUCKETS) -> np.ndarray:
@@ -89,14 +91,14 @@ def divide(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
     return p.select(key, "piece_no", start.alias("tok_start"), F.least(start + c, F.col("_n")).alias("tok_end"))
 
 
-def pack(items: DataFrame, key: str, size: str, capacity: int, buckets: int = BUCKETS, spread: int = SPREAD) -> DataFrame:
+def pack(items: DataFrame, key: str, size: str, capacity: int, buckets: int = BUCKETS, share: int = SHARE) -> DataFrame:
     """(key, piece_no, tok_start, tok_end, container) for containers of ``capacity`` tokens.
 
     An item is divided only if it alone exceeds the capacity. Container numbers run from 0 without
     gaps. Equal input gives the equal result. An item of size 0 or null takes the room of one token;
     rows with a null key are left out; repeated rows are items of their own; an empty table gives an
-    empty result. Other columns are ignored. ``spread``: parts in which the items of a bucket are
-    ranked; a bucket that holds most items is ranked by so many tasks.
+    empty result. Other columns are ignored. ``share``: items that one task ranks, about; the
+    items of a bucket are spread over as many tasks as that takes, however many they are.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -117,16 +119,31 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, buckets: int = BU
             slots.append((b, int(used[b]), int(used[b] + times * n), n, first))
             used[b] += times * n
         first += times
-    # lookup tables of bounded size: one row a length, one a pattern and bucket
+    # at most `capacity` rows
     buckets_df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(lengths, of)], "len long, bucket int")
-    slots_df = spark.createDataFrame(slots, "bucket int, lo long, hi long, each int, first long")
-
+    spread = max(1, -(-int(per.max()) // share))
     p = p.join(F.broadcast(buckets_df), "len").withColumn("shard", F.pmod(F.xxhash64("k"), F.lit(spread)))
     seen = p.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("c"))
     before = F.sum("c").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     seen = seen.select("bucket", "shard", F.coalesce(before, F.lit(0)).alias("before"))  # at most buckets x spread rows
     w = Window.partitionBy("bucket", "shard").orderBy("k", "piece_no")
-    p = p.withColumn("rn", F.row_number().over(w)).join(F.broadcast(seen), ["bucket", "shard"])
-    p = p.withColumn("rank", F.col("before") + F.col("rn") - 1)
-    p = p.join(F.broadcast(slots_df), "bucket").where("rank >= lo and rank < hi")
-    return p.select(*out, (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).cast("long").alias("container"))
+    # the ranked items lie by bucket and shard already, so they stay where they are
+    p = p.withColumn("rn", F.row_number().over(w)).hint("merge").join(seen, ["bucket", "shard"])
+    return p.select(*out, _container(slots)("bucket", F.col("before") + F.col("rn") - 1).alias("container"))
+
+
+def _container(slots: list[tuple[int, int, int, int, int]]):
+    """Container of the item of a rank in its bucket, by a search in the sorted slots of the plan."""
+    bucket, lo, _, each, first = (np.array(x, np.int64) for x in zip(*sorted(slots)))
+
+    @F.pandas_udf("long")
+    def place(b: pd.Series, rank: pd.Series) -> pd.Series:
+        b, rank = b.to_numpy(np.int64), rank.to_numpy(np.int64)
+        at = np.empty(len(b), np.int64)
+        for one in np.unique(b):  # a batch has items of few buckets
+            here, begin = b == one, np.searchsorted(bucket, one)
+            end = np.searchsorted(bucket, one, side="right")
+            at[here] = begin + np.searchsorted(lo[begin:end], rank[here], side="right") - 1
+        return pd.Series(first[at] + (rank - lo[at]) // each[at])
+
+    return place
