@@ -73,6 +73,24 @@ def test_divided_counts_each_key_once(spark):
         split.cuts(F.col("t"), 10, 10)
 
 
+def test_the_pattern_runs_once_a_text(spark):
+    df = spark.createDataFrame([("a", "x" * 300)], "id string, t string")
+    for got in (split.split_texts(df, "id", "t", 200, 20), split.divided(df, "id", "t", 200, 20)):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1
+
+
+def test_very_long_text(spark):
+    text = SENTENCES * 60_000  # 3.7 million characters, some 2,000 pieces
+    rows = split.split_texts(spark.createDataFrame([(1, text)], "id int, t string"), "id", "t").select("piece_no", "start_char", "cut_char", "end_char", F.xxhash64("piece").alias("h")).collect()
+    rows.sort()
+    assert [r["piece_no"] for r in rows] == list(range(1, len(rows) + 1)) and rows[-1]["end_char"] == len(text)
+    assert all(a["end_char"] == b["cut_char"] > b["start_char"] >= a["start_char"] for a, b in zip(rows, rows[1:]))
+    some = [rows[i] for i in (0, 1, 63, 64, 65, 128, 1000, len(rows) - 1)]
+    want = spark.createDataFrame([(text[r["start_char"] : r["end_char"]],) for r in some], "t string").select(F.xxhash64("t").alias("h")).collect()
+    assert [r["h"] for r in some] == [r["h"] for r in want]
+
+
 # ---------------------------------------------------------------- near-duplicates
 
 
@@ -197,6 +215,14 @@ def test_value_set(spark):
     assert df.select(setjoin.value_set("x", "y", "z")).first()[0] == ["a", "b", "c"]
 
 
+def test_segments_grow_with_the_classes():
+    assert setjoin.width_for(0) == setjoin.width_for(1_000_000) == setjoin.SEGMENT_BITS
+    for n in (10**8, 10**10):
+        w = setjoin.width_for(n)
+        assert n / 2**w <= setjoin.BUCKET < n / 2 ** (w - 1)
+        assert (1 - 0.85**w) ** setjoin.segments_for(0.7, 5e-4, w) <= 5e-4
+
+
 def test_calibration():
     n, r = setjoin.segments_for(0.7, 5e-4), probminhash.radius_for(0.7, 5e-4)
     assert (1 - 0.85**setjoin.SEGMENT_BITS) ** n <= 5e-4
@@ -250,6 +276,11 @@ def test_pack(spark):
         assert len(p) == max(1, -(-n // 100)) and p[0][1] == 0 and p[-1][2] == n and all(a[2] == b[1] for a, b in zip(p, p[1:]))
     assert sum(sizes.values()) / (100 * len(fill)) > 0.93
     assert sorted(map(tuple, rows)) == sorted(map(tuple, pack.pack(df.repartition(7), "doc_id", "n", 100, buckets=4).collect()))
+    many = pack.pack(df, "doc_id", "n", 100, buckets=4, share=90)  # several tasks a bucket
+    fill = Counter()
+    for r in many.collect():
+        fill[r["container"]] += r["tok_end"] - r["tok_start"]
+    assert max(fill.values()) <= 100 and sorted(fill) == list(range(len({r["container"] for r in rows})))
     assert pack.pack(df.limit(0), "doc_id", "n", 100).count() == 0
 
 
@@ -260,8 +291,24 @@ def test_token_counts(spark):
     enc = tokens.encoding(tokens.VOCABULARY)
     assert got == {i: len(enc.encode_ordinary(t)) if t else 0 for i, t in enumerate(texts)}
     assert enc.decode(enc.encode_ordinary(texts[2])) == texts[2]
-    long = "some words, here and there; " * 30_000
-    assert tokens.count_tokens(long) == len(enc.encode_ordinary(long))
+    rng = random.Random(9)
+    solid = "".join(rng.choice("abcxyz019-_.é文") for _ in range(1_000_000))
+    for long in ("some words, here and there; " * 30_000, solid, "a" * 1_000_000, "ab1-" * 250_000):
+        assert tokens.count_tokens(long) == len(enc.encode_ordinary(long))
+
+
+def test_runs_of_white_space(monkeypatch):
+    enc = tokens.encoding(tokens.VOCABULARY)
+    rng = random.Random(10)
+    monkeypatch.setattr(tokens, "_LONG_RUN", tokens.regex.compile(r"\p{White_Space}{5,}"))
+    monkeypatch.setattr(tokens, "RUN", 5)
+    for _ in range(3000):
+        t = "".join(rng.choice(["a", "Z9", " ", " ", "\n", "\n", "\t", "\r\n", "'s", "!", "\u00a0", "\u2003", "\x1c", "é"]) * rng.choice([1, 1, 1, 2, 7]) for _ in range(rng.randrange(12)))
+        assert tokens.count_tokens(t) == len(enc.encode_ordinary(t)), repr(t)
+    monkeypatch.undo()
+    # longer ones than the pattern's engine can take
+    assert tokens.count_tokens(" " * 3_000_000 + "x") == tokens.count_tokens(" " * 2_999_999) + 1
+    assert tokens.count_tokens("x" + "\n" * 2_000_000) > 1000
 
 
 # ---------------------------------------------------------------- mixing
@@ -314,6 +361,27 @@ def test_mix(spark):
     assert mix.mix_sources(df, t.limit(0))[0].count() == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 60), st.dictionaries(st.integers(1, 30), st.integers(1, 3), max_size=4), st.dictionaries(st.integers(1, 30), st.just(1), max_size=3))
+def test_nearest_total(gap, put, back):
+    from itertools import product
+
+    add, less = mix.nearest(gap, put, back)
+    assert all(k <= put[n] for n, k in add.items()) and all(n in back for n in less) and sum(less.values()) <= 1
+    sums = [sum(n * k for n, k in zip(put, ks)) for ks in product(*[range(c + 1) for c in put.values()])]
+    best = min(abs(gap - t + r) for t in sums for r in [0, *back])
+    assert abs(gap - sum(n * k for n, k in add.items()) + sum(less)) == best
+
+
+def test_mix_of_few_documents_and_of_many_shards(spark):
+    docs = [(i, "small", n) for i, n in enumerate([90, 110, 53, 250])] + [(100 + i, "big", 37 + i % 50) for i in range(4000)]
+    t = spark.createDataFrame([("small", 0.02, 2), ("big", 0.98, 1)], "source string, target_share double, max_repeats int")
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    for share in (mix.SHARE, 300):
+        r = {x["source"]: x for x in mix.mix_sources(df, t, share=share)[1].collect()}
+        assert abs(r["small"]["actual_share"] / 0.02 - 1) < 0.002 and r["small"]["selected_tokens"] > 990
+
+
 def mix_name(s):
     return s.strip().lower().replace("_", "-") if s else None
 
@@ -371,6 +439,11 @@ def test_scan_skips_what_has_no_language():
     assert len(set(s.doc[s.word_unit[-2:]].tolist())) == 1 and s.word_unit[-1] != s.word_unit[-2]
 
 
+def test_long_tags_and_code_are_blanked():
+    t = "Ja <p " + " ".join(f'attribut{i}="wert"' for i in range(200)) + "> nein `" + "code " * 100 + "` doch"
+    assert blank(t).split() == ["Ja", "nein", "doch"] and len(blank(t)) == len(t)
+
+
 SPEECH = {
     "en": "The old house stands near the river. Children play there every day after school. We were glad that the weather stayed warm. Please close the window before you leave. Nothing was lost when the server stopped. This is what they wanted to know about it. Where have all these people come from? He gave her the letter which she had been waiting for. You should never open that door without the key. Most of them would rather wait until tomorrow morning.",
     "de": "Das alte Haus steht in der Nähe des Flusses. Die Kinder spielen dort jeden Tag nach der Schule. Wir waren froh, dass das Wetter warm blieb. Bitte schließen Sie das Fenster, bevor Sie gehen. Es ging nichts verloren, als der Rechner stehen blieb. Das ist es, was sie darüber wissen wollten. Woher sind alle diese Leute gekommen? Er gab ihr den Brief, auf den sie gewartet hatte. Man sollte diese Tür nie ohne den Schlüssel öffnen. Die meisten von ihnen würden lieber bis morgen warten.",

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +19,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the vocabulary's texts are divided before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-PART = 200_000
-_BREAK = re.compile(r"(?<=\S)(?= \S)")
+RUN = 10_000  # white space of this length is taken out of a text before the pattern sees it
+_LONG_RUN = regex.compile(rf"\p{{White_Space}}{{{RUN},}}")
 
 
 @lru_cache(maxsize=2)
@@ -33,15 +33,23 @@ def encoding(path: str):
 
 
 def count_tokens(text: str, path: str = VOCABULARY) -> int:
-    """Tokens of a text. A text of more than ``PART`` characters is encoded in parts that begin at a
-    space before a word, where a token begins in any case, so the count is that of the whole."""
+    """Tokens of the whole text.
+
+    The pattern's engine has a stack for white space that it goes back over, so very long runs of it
+    are encoded apart: before a word the pattern takes a run but its last character, at the end of the
+    text all of it, and what stands before the run ends in a token that the run cannot change. The
+    count is therefore that of the whole."""
     enc, n, at = encoding(path), 0, 0
-    while len(text) - at > PART:
-        m = _BREAK.search(text, at + PART)
-        to = m.start() if m and m.start() - at < 2 * PART else at + 2 * PART
-        n += len(enc.encode_ordinary(text[at:to]))
-        at = to
-    return n + len(enc.encode_ordinary(text[at:] if at else text))
+    for m in _LONG_RUN.finditer(text) if len(text) >= RUN else ():
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        n += _encoded(enc, text[at : m.start()]) + len(enc._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + _encoded(enc, text[at:] if at else text)
+
+
+def _encoded(enc, text: str) -> int:
+    # long results as an array, not as a list of objects
+    return len(enc.encode_ordinary(text)) if len(text) < 100_000 else len(enc.encode_to_numpy(text, disallowed_special=()))
 
 
 def token_counts(df: DataFrame, key: str, text: str, *keep: str, path: str = VOCABULARY) -> DataFrame:

@@ -19,11 +19,11 @@ from .shingles import _powers, mix
 _FRONT = re.compile(r"\A\ufeff?---[ \t]*\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 _FENCE = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[ \t]*\r?$|\Z)", re.S | re.M)
 _ROW = re.compile(r"^[ \t]*\|.*$", re.M)
-_TAG = re.compile(r"<[!/?]?([A-Za-z][\w.-]*)[^<>]{0,400}>")
+_TAG = re.compile(r"<[!/?]?([A-Za-z][\w.-]*)[^<>]*>")
 # Tags inside a line; all others end one.
 _IN_LINE = frozenset("a abbr b cite code em i keyword kbd ph q s small span strong sub sup term tm tt u xref".split())
 _CODE_TAG = re.compile(r"<(codeblock|codeph|cmdname|parmname|option|uicontrol|menucascade|filepath|pre|code|screen)\b[^<>]*>.*?</\1>", re.S)
-_TICK = re.compile(r"`[^`\n]{1,200}`")
+_TICK = re.compile(r"`[^`\n]+`")
 _KEEP_LINES = re.compile(r"[^\n]")
 
 
