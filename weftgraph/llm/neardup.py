@@ -140,14 +140,17 @@ def _exact_sets(df: DataFrame, width: int, least: int) -> DataFrame:
 
 
 def duplicate_groups(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, cls, group_id, n_links): one row for each member; group_id joins what is linked directly
-    or through others, n_links counts the linked other classes."""
+    """(id, class_id, group_id, n_links): one row for each member. A class is named by its least id;
+    so is a group, which joins the classes linked directly or through others. n_links counts the
+    linked other classes."""
     from .links import components
 
-    comp = components(links, "cls_a", "cls_b")
+    comp = components(links, "cls_a", "cls_b").withColumnRenamed("node", "cls")
     deg = links.select(F.col("cls_a").alias("cls")).union(links.select("cls_b")).groupBy("cls").agg(F.count(F.lit(1)).alias("n_links"))
-    m = members.join(comp.withColumnRenamed("node", "cls"), "cls", "left").join(deg, "cls", "left")
-    return m.select("id", "cls", F.coalesce("component", "cls").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    c = members.groupBy("cls").agg(F.min("id").alias("class_id")).join(comp, "cls", "left").join(deg, "cls", "left")
+    c = cut(c.select("cls", "class_id", F.coalesce("component", "cls").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    c = c.join(c.groupBy("component").agg(F.min("class_id").alias("group_id")), "component")
+    return members.join(c, "cls").select("id", "class_id", "group_id", "n_links")
 
 
 def member_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
