@@ -24,10 +24,13 @@ def edges_to(edges: DataFrame, node: str, relation: str | None = None) -> DataFr
     return e.where(F.col("relation") == relation) if relation else e
 
 
-def walk(edges: DataFrame, start: DataFrame | str, depth: int | None, relation: str | None = None, reverse: bool = False) -> DataFrame:
+def walk(edges: DataFrame, start: DataFrame | str, depth: int | None, relation: str | None = None, reverse: bool = False, each: bool = False) -> DataFrame:
     """(level, id, via, relation, path) of every node first discovered within ``depth`` hops; the
     start is level 0 with null via. ``start`` is an id or a table with a column ``id``; None as depth
-    goes on to the fixpoint. An unknown start reaches itself only. Null ends lead nowhere."""
+    goes on to the fixpoint. An unknown start reaches itself only. Null ends lead nowhere.
+
+    Several starts are one walk; with ``each`` every start has a walk of its own, all made in the same
+    rounds, and the rows have the column ``start``, too."""
     e = edges.where("src is not null and dst is not null")
     if relation:
         e = e.where(F.col("relation") == relation)
@@ -36,25 +39,22 @@ def walk(edges: DataFrame, start: DataFrame | str, depth: int | None, relation:
     spark = edges.sparkSession
     if isinstance(start, str):
         start = spark.createDataFrame([(start,)], "id string")
-    front = cut(
-        start.select(
-            F.lit(0).alias("level"), "id", F.lit(None).cast("string").alias("via"), F.lit(None).cast("string").alias("relation"),
-            F.array().cast("array<bigint>").alias("path"),
-        ).where("id is not null")
-    )
-    levels, seen = [front], front.select("id")
+    none, mine = F.lit(None).cast("string"), ["start"] if each else []
+    first = start.select("id").where("id is not null").distinct().select(*[F.col("id").alias(m) for m in mine], "id")
+    front = cut(first.select(*mine, F.lit(0).alias("level"), "id", none.alias("via"), none.alias("relation"), F.array().cast("array<bigint>").alias("path")))
+    levels, seen = [front], front.select(*mine, "id")
     n = 0
     while depth is None or n < depth:
         n += 1
-        step = front.select("id", "path").join(e, F.col("id") == F.col("here"))
-        step = step.select(F.col("there"), F.col("here"), "relation", F.array_append("path", F.col("edge_ord")).alias("path"))
-        step = step.join(seen, F.col("there") == F.col("id"), "left_anti")
-        best = step.groupBy(F.col("there").alias("id")).agg(F.min_by(F.struct("here", "relation"), "path").alias("x"), F.min("path").alias("path"))
-        front = cut(best.select(F.lit(n).alias("level"), "id", F.col("x.here").alias("via"), F.col("x.relation").alias("relation"), "path"))
+        step = front.select(*mine, F.col("id").alias("at"), "path").join(e, F.col("at") == F.col("here"))
+        step = step.select(*mine, F.col("there").alias("id"), "here", "relation", F.array_append("path", F.col("edge_ord")).alias("path"))
+        step = step.join(seen, [*mine, "id"], "left_anti")
+        best = step.groupBy(*mine, "id").agg(F.min_by(F.struct("here", "relation"), "path").alias("x"), F.min("path").alias("path"))
+        front = cut(best.select(*mine, F.lit(n).alias("level"), "id", F.col("x.here").alias("via"), F.col("x.relation").alias("relation"), "path"))
         if front.isEmpty():
             break
         levels.append(front)
-        seen = seen.union(front.select("id"))
+        seen = seen.union(front.select(*mine, "id"))
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)

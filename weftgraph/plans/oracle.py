@@ -79,6 +79,14 @@ ORACLE = {
             UNION ALL SELECT w.lvl + 1, r.dst, r.src, list_append(w.path, r.ord) FROM w JOIN r ON r.src = w.id WHERE w.lvl < 3)
         SELECT lvl AS level, via AS from_id, id AS to_id FROM
             (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY id ORDER BY lvl, path) = 1) WHERE lvl > 0""",
+    "reachable_of_maps": f"""WITH RECURSIVE {_E}, w(map_id, id, lvl) AS (SELECT DISTINCT id, id, 0 FROM maps
+            UNION SELECT w.map_id, e.dst, w.lvl + 1 FROM w JOIN e ON e.src = w.id WHERE w.lvl < 3)
+        SELECT map_id, id, min(lvl)::INT AS level FROM w GROUP BY ALL""",
+    "trace_of_topics": f"""WITH RECURSIVE {_E}, r AS (SELECT * FROM e WHERE relation = 'requires'),
+        w(start, lvl, id, via, path) AS (SELECT DISTINCT src, 0, src, NULL::VARCHAR, []::BIGINT[] FROM r
+            UNION ALL SELECT w.start, w.lvl + 1, r.dst, r.src, list_append(w.path, r.ord) FROM w JOIN r ON r.src = w.id WHERE w.lvl < 3)
+        SELECT start, lvl AS level, via AS from_id, id AS to_id FROM
+            (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY start, id ORDER BY lvl, path) = 1) WHERE lvl > 0""",
     "analyze_impact": f"""WITH RECURSIVE {_E}, {_C},
         w(lvl, id, via, rel, path) AS (SELECT 0, min(dst), NULL::VARCHAR, NULL::VARCHAR, []::BIGINT[] FROM e WHERE relation = 'requires'
             UNION ALL SELECT w.lvl + 1, e.src, e.dst, e.relation, list_append(w.path, e.ord) FROM w JOIN e ON e.dst = w.id WHERE w.lvl < 5),

@@ -134,6 +134,19 @@ def analyze_impact(spark: SparkSession, d: str) -> DataFrame:
     return i.select("level", "id", "relation", "via").join(c, "id", "left")
 
 
+def reachable_of_maps(spark: SparkSession, d: str) -> DataFrame:
+    """What every map reaches within three hops, map by map."""
+    starts = table(spark, d, "maps").select("id")
+    return traverse.walk(testbed.edges(spark, d), starts, 3, each=True).select(F.col("start").alias("map_id"), "id", "level")
+
+
+def trace_of_topics(spark: SparkSession, d: str) -> DataFrame:
+    """The prerequisites of everything that requires something, each with a walk of its own."""
+    e = testbed.edges(spark, d).where("relation = 'requires'")
+    w = traverse.walk(e, e.select(F.col("src").alias("id")).distinct(), 3, each=True).where("level > 0")
+    return w.select("start", "level", F.col("via").alias("from_id"), F.col("id").alias("to_id"))
+
+
 def infer_applies_to(spark: SparkSession, d: str) -> DataFrame:
     return infer.applies_to(testbed.nodes(spark, d), testbed.edges(spark, d).where("relation <> 'applies-to'"))[0]
 
@@ -369,6 +382,8 @@ QUERIES = {
     "forward_reachable": forward_reachable,
     "trace_dependencies": trace_dependencies,
     "analyze_impact": analyze_impact,
+    "reachable_of_maps": reachable_of_maps,
+    "trace_of_topics": trace_of_topics,
     "infer_applies_to": infer_applies_to,
     "ambiguous_terms": ambiguous_terms,
     "term_candidates": term_candidates,
