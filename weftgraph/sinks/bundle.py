@@ -59,8 +59,11 @@ def file_name_of(node_id: Column) -> Column:
     return F.when(name == node_id, node_id).otherwise(F.concat(name, F.lit("~"), F.substring(F.md5(node_id), 1, 12)))
 
 
+TO_TOPIC, TO_MAP = "\0t", "\0m"  # where a link's folder stands until it is known which file it is in
+
+
 def render_concept(n: dict, sections: list[dict], relations: dict[str, list[str]] | None, at: str) -> str:
-    """A concept file. ``sections``: relation and items (dst, title, kind) in order."""
+    """A concept file. ``sections``: relation and lines in order, folders not yet put in."""
     head = [f"type: {scalar(n['okf_type'] or '')}", f"title: {scalar(n['title'] or n['id'])}"]
     if file_name(n["id"]) != n["id"]:
         head.append(f"id: {scalar(n['id'])}")
@@ -79,23 +82,28 @@ def render_concept(n: dict, sections: list[dict], relations: dict[str, list[str]
         body.append(f"# Summary\n\n{n['shortdesc']}\n")
     if n["body"] is not None:
         body.append(f"# Content\n\n{n['body']}\n")
+    topics, maps = ("", "../maps/") if n["kind"] == "topic" else ("../topics/", "")
     for s in sections:
-        lines = []
-        for x in s["items"]:
-            same = (x["kind"] or "topic") == n["kind"]
-            where = "" if same else f"../{x['kind'] or 'topic'}s/"
-            lines.append(f"- [{x['title']}]({where}{file_name(x['dst'])}.md)")
-        body.append(f"# {HEADINGS[s['relation']]}\n\n" + "\n".join(lines) + "\n")
+        body.append(f"# {HEADINGS[s['relation']]}\n\n" + s["lines"].replace(TO_TOPIC, topics).replace(TO_MAP, maps) + "\n")
     text = "\n".join(body).rstrip()
     return "---\n" + "\n".join(head) + "\n---\n\n" + text
 
 
-def concepts(nodes: DataFrame, edges: DataFrame, at: str) -> DataFrame:
-    """(file, content) of every node."""
+FILES = 500  # files that one task renders and writes, about
+
+
+def concepts(nodes: DataFrame, edges: DataFrame, at: str, n: int) -> DataFrame:
+    """(file, content) of every node; ``n``: their number. Small files cost by the piece, not by the
+    byte, so they are spread by number."""
     target = nodes.groupBy(F.col("id").alias("dst")).agg(F.max_by(F.struct("title", "kind"), F.when(F.col("kind") == "topic", 1).otherwise(0)).alias("t"))
-    e = edges.join(target, "dst", "left").select("src", "edge_ord", "relation", "dst", F.coalesce("t.title", "dst").alias("title"), F.coalesce("t.kind", F.lit("topic")).alias("kind"))
-    g = e.groupBy("src", "relation").agg(F.min("edge_ord").alias("first"), F.array_sort(F.collect_list(F.struct("edge_ord", "dst", "title", "kind"))).alias("items"))
-    g = g.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("first", "relation", "items"))).alias("sections"))
+    e = edges.join(target, "dst", "left")
+    folder = F.when(F.col("t.kind") == "map", TO_MAP).otherwise(TO_TOPIC)
+    line = F.concat(F.lit("- ["), F.coalesce("t.title", "dst"), F.lit("]("), folder, file_name_of(F.col("dst")), F.lit(".md)"))
+    # links become text here; the tasks that render get one text a relation, and ids only where they are listed
+    e = e.select("src", "edge_ord", "relation", line.alias("line"), F.when(F.col("relation").isin(*lookup.LISTED), F.col("dst")).alias("dst"))
+    g = e.groupBy("src", "relation").agg(F.min("edge_ord").alias("first"), F.array_sort(F.collect_list(F.struct("edge_ord", "line", "dst"))).alias("x"))
+    g = g.select("src", "relation", "first", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("lines"), F.array_compact(F.transform("x", lambda x: x["dst"])).alias("listed"))
+    g = g.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list(F.struct("first", "relation", "lines", "listed"))).alias("sections"))
     t = lookup.tags(nodes).dropDuplicates(["id"])
     d = nodes.join(g, "id", "left").join(t, "id", "left").select("kind", "id", "okf_type", "title", "shortdesc", "body", "source_file", "tags", "sections")
 
@@ -105,12 +113,12 @@ def concepts(nodes: DataFrame, edges: DataFrame, at: str) -> DataFrame:
             for n in b.to_dict("records"):
                 n = {k: (None if v is None or (isinstance(v, float) and v != v) else v) for k, v in n.items()}
                 secs = list(n["sections"]) if n["sections"] is not None else []
-                rel = {s["relation"]: [x["dst"] for x in s["items"]] for s in secs if s["relation"] in lookup.LISTED}
+                rel = {s["relation"]: list(s["listed"]) for s in secs if s["relation"] in lookup.LISTED}
                 n["tags"] = list(n["tags"]) if n["tags"] is not None and n["kind"] == "topic" else []
                 rows.append((f"{n['kind']}s/{file_name(n['id'])}.md", render_concept(n, secs, rel, at)))
             yield pd.DataFrame(rows, columns=["file", "content"])
 
-    return d.mapInPandas(run, "file string, content string")
+    return d.repartition(max(1, -(-n // FILES)), "kind", "id").mapInPandas(run, "file string, content string")
 
 
 def _write_files(files: DataFrame, root: str) -> None:
@@ -171,8 +179,8 @@ def _join_documents(spark, stage: str, parts: str, stamp: str, topics: int, grap
 
 
 def publish(nodes: DataFrame, edges: DataFrame, root: str, graph_json: bool = True, server: bool = False, at: datetime | None = None, tables: dict[str, DataFrame] | None = None) -> tuple[dict, DataFrame]:
-    """Check the bundle, then write it. Returns (summary, findings); with an error among the findings
-    nothing is written: the bundle appears in ``root`` as a whole or not at all. The former bundle is
+    """Check the bundle and write it. Returns (summary, findings); with an error among the findings
+    nothing is left: the bundle appears in ``root`` as a whole or not at all. The former bundle is
     moved aside before the new one takes its place, and is deleted only then. ``tables``: further ones
     to write beside nodes and edges, by name."""
     stamp = (at or datetime.now(timezone.utc)).astimezone(timezone.utc).isoformat()
@@ -180,37 +188,41 @@ def publish(nodes: DataFrame, edges: DataFrame, root: str, graph_json: bool = Tr
     ship(spark)
     n_seen, e_seen, f_seen = Observation(), Observation(), Observation()
     count = F.count(F.lit(1)).alias("n")
-    # the writes depend on nothing but these tables, so they run side by side
+    stage, parts = f"{root}.staging", f"{root}.staging.parts"
+    delete(spark, stage)
+    delete(spark, parts)
+    # the writes depend on nothing but the two tables, so they run side by side, and beside the checks:
+    # what is staged is not the bundle yet
     with ThreadPoolExecutor(8) as pool:
         one = pool.submit(cut, nodes.observe(n_seen, count, F.count_if(F.col("kind") == "topic").alias("topics")))
         two = pool.submit(cut, edges.observe(e_seen, count))
         nodes, edges = one.result(), two.result()
-        files = cut(concepts(nodes, edges, stamp))
-        rag = _chunk_lines(nodes).select(F.lit("rag/chunks.jsonl").alias("file"), F.col("line").alias("content"))
-        found = cut(check.findings(nodes, edges, files, rag).observe(f_seen, F.count_if(F.col("severity") == "error").alias("errors")))
-        topics = n_seen.get["topics"]
-        summary = {"topics": topics, "maps": n_seen.get["n"] - topics, "edges": e_seen.get["n"], "chunks": 0, "errors": f_seen.get["errors"]}
-        if summary["errors"]:
-            return summary, found
-        stage, parts = f"{root}.staging", f"{root}.staging.parts"
-        delete(spark, stage)
-        delete(spark, parts)
-        jobs = [pool.submit(_write_files, files, f"{stage}/okf")]
-        jobs.append(pool.submit(_sorted_parts, _node_lines(nodes).unionByName(_chunk_lines(nodes)), ["doc", "node_ord", "id"], f"{parts}/nodes", "doc"))
+        rendered = pool.submit(cut, concepts(nodes, edges, stamp, n_seen.get["n"]))
+        jobs = [pool.submit(_sorted_parts, _node_lines(nodes).unionByName(_chunk_lines(nodes)), ["doc", "node_ord", "id"], f"{parts}/nodes", "doc")]
         if graph_json:
             jobs.append(pool.submit(_sorted_parts, edge_lines(edges), ["edge_ord"], f"{parts}/edges"))
         for name, df, key in (("nodes", nodes, "id"), ("edges_by_src", edges, "src"), ("edges_by_dst", edges, "dst")):
             jobs.append(pool.submit(df.repartitionByRange(key).sortWithinPartitions(key).write.parquet, f"{stage}/tables/{name}"))
         for name, df in (tables or {}).items():
             jobs.append(pool.submit(df.write.parquet, f"{stage}/tables/{name}"))
+        files = rendered.result()
+        jobs.append(pool.submit(_write_files, files, f"{stage}/okf"))
+        rag = _chunk_lines(nodes).select(F.lit("rag/chunks.jsonl").alias("file"), F.col("line").alias("content"))
+        found = cut(check.findings(nodes, edges, files, rag).observe(f_seen, F.count_if(F.col("severity") == "error").alias("errors")))
         for j in jobs:
             j.result()
-        _join_documents(spark, stage, parts, stamp, topics, graph_json)
+    topics = n_seen.get["topics"]
+    summary = {"topics": topics, "maps": n_seen.get["n"] - topics, "edges": e_seen.get["n"], "chunks": 0, "errors": f_seen.get["errors"]}
+    if summary["errors"]:
+        delete(spark, stage)
         delete(spark, parts)
-        if server:
-            write_text(spark, f"{stage}/mcp/mcp-server.toml", SERVER_CONFIG)
-        write_text(spark, f"{stage}/tables/built.json", json.dumps({"by": PRODUCER, "at": stamp}) + "\n")
-        summary["chunks"] = topics
+        return summary, found
+    summary["chunks"] = topics
+    _join_documents(spark, stage, parts, stamp, topics, graph_json)
+    delete(spark, parts)
+    if server:
+        write_text(spark, f"{stage}/mcp/mcp-server.toml", SERVER_CONFIG)
+    write_text(spark, f"{stage}/tables/built.json", json.dumps({"by": PRODUCER, "at": stamp}) + "\n")
     old = f"{root}.old"
     delete(spark, old)
     if exists(spark, root):
