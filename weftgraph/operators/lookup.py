@@ -22,6 +22,8 @@ def find_related(nodes: DataFrame, edges: DataFrame, of: DataFrame | str, relati
     if relation:
         e = e.where(F.col("relation") == relation)
     e = e.where(F.col("src") == of) if isinstance(of, str) else e.join(of.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    if isinstance(of, str):  # of a single node's targets only the titles are looked up, not of all nodes
+        nodes = nodes.join(e.select(F.col("dst").alias("id")).distinct(), "id", "left_semi")
     t = titles(nodes).withColumnRenamed("id", "dst")
     return e.join(t, "dst", "left").select("src", "edge_ord", "relation", "dst", F.coalesce("title", "dst").alias("title"))
 
