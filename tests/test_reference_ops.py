@@ -52,6 +52,26 @@ def test_related_to(spark, topics, links, n):
     assert pairs(infer.related_to(ns, es, spark.createDataFrame([("a",)], "id string"))) == {p for p in got if "a" in p}
 
 
+def test_a_product_of_all_topics_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(infer, "BLOCK", 4)
+    rng = random.Random(3)
+    sets = {f"t{i:02}": ["all", *rng.sample("pqrs", rng.randrange(0, 4))] for i in range(30)}
+    ns, es = nodes(spark, *[node(i, product=p) for i, p in sets.items()]), edges(spark, ("t01", "t02", "requires"))
+    rows = infer.related_to(ns, es).collect()
+    assert len(rows) == 30 * 29 - 2 == len({(r["src"], r["dst"]) for r in rows})
+    assert all((r["src_ord"], r["dst_ord"]) == (int(r["src"][1:]), int(r["dst"][1:])) for r in rows)
+
+
+def test_walks_of_their_own(spark):
+    rng = random.Random(7)
+    es = edges(spark, *[(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", "requires") for _ in range(25)])
+    starts = [f"n{i}" for i in range(6)] + ["nowhere", "n0"]
+    each = traverse.walk(es, spark.createDataFrame([(x,) for x in starts] + [(None,)], "id string"), 3, each=True).collect()
+    for x in set(starts):
+        alone = {tuple(r) for r in ((r["level"], r["id"], r["via"], tuple(r["path"])) for r in traverse.walk(es, x, 3).collect())}
+        assert {(r["level"], r["id"], r["via"], tuple(r["path"])) for r in each if r["start"] == x} == alone
+
+
 def test_related_counts_with_large_sets(spark):
     rng = random.Random(4)
     ns = nodes(spark, *[node(f"t{i}", product=rng.sample([f"p{k}" for k in range(14)], rng.randrange(0, 13))) for i in range(40)])
