@@ -107,6 +107,12 @@ def test_manifest_is_needed(spark, tmp_path):
         job.extract(spark, root)
 
 
+def test_deep_nesting():
+    deep = "<topic id='t'><title>T</title><body>a" + "<p>" * 20_000 + "b<xref href='u.dita'/>c" + "</p>d" * 20_000 + "</body></topic>"
+    r = xml_parse.parse_topic("t.dita", deep.encode(), {})
+    assert r["body"] == "abc" + "d" * 20_000 and r["links"] == [("references", "u.dita")]
+
+
 def test_paths():
     assert xml_parse.resolve_path("a/b.ditamap", "../c.dita") == "c.dita"
     assert xml_parse.resolve_path("b.ditamap", "./x/../c.dita") == "./x/../c.dita"

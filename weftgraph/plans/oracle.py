@@ -161,6 +161,9 @@ ORACLE = {
     "graph_edge_lines": f"""WITH {_E} SELECT ord AS edge_ord, ',' || to_json({{'from': src, 'to': dst, 'relation': relation}})::VARCHAR AS line FROM e""",
     "edges_into_targets": f"""WITH {_E} SELECT src, dst, relation, ord AS edge_ord FROM e
         WHERE dst = (SELECT dst FROM e GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1)""",
+    "xml_maps": """WITH m AS (SELECT id, list_filter(list_transform(any_value(links), lambda l: split_part(l.target_id, '#', 1)), lambda x: trim(x, ' ') <> '') AS a FROM maps GROUP BY id),
+        x AS (SELECT id, a, unnest(range(1, len(a) + 1)) AS i FROM m)
+        SELECT id AS map_id, (i - 1)::INT AS ord, CASE WHEN i % 2 = 0 THEN a[i - 1] END AS container, a[i] AS target, (CASE WHEN i % 2 = 0 THEN 2 ELSE 1 END)::INT AS level FROM x""",
     "xml_topics": f"""WITH {_N}, c AS (SELECT id, CASE WHEN topic_type = 'glossentry' THEN 'glossentry' ELSE topic_type END AS topic_type,
             {_COLLAPSE.format("title")} AS title, {_TRIM.format("coalesce(shortdesc, '')")} AS shortdesc, {_COLLAPSE.format("coalesce(body, '')")} AS body,
             {_COLLAPSE.format("array_to_string(audience, ' ')")} AS audience, array_to_string(list_distinct_in_order, '|') AS uicontrols

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_id, file_stem
@@ -259,9 +259,26 @@ def edges_into_targets(spark: SparkSession, d: str) -> DataFrame:
     return traverse.edges_to(e, hub["dst"] if hub else "")
 
 
+def _escaped(c: Column) -> Column:
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), ('"', "&quot;")):
+        c = F.replace(c, F.lit(sign), F.lit(name))
+    return c
+
+
+def xml_maps(spark: SparkSession, d: str) -> DataFrame:
+    """What the XML reader makes of all maps, written as XML: their references in order, every second
+    of them inside the one before it."""
+    m = table(spark, d, "maps").dropDuplicates(["id"])
+    to = F.filter(F.transform(F.coalesce("links", F.array().cast(m.schema["links"].dataType)), lambda x: base_id(x["target_id"])), lambda x: F.trim(x) != "")
+    ref = F.transform(to, lambda x, i: F.concat(F.lit('<topicref href="'), _escaped(x), F.when((i % 2 == 0) & (i < F.size(to) - 1), '">').when(i % 2 == 0, '"/>').otherwise('"/></topicref>')))
+    xml = F.concat(F.lit('<map id="'), _escaped(F.col("id")), F.lit('"><title>'), _escaped(F.col("title")), F.lit("</title>"), F.array_join(ref, ""), F.lit("</map>"))
+    rows = job.parse_maps(m.select(F.col("id").alias("path"), F.encode(xml, "UTF-8").alias("xml"))).where("row = 'ref'")
+    return rows.select(F.col("source_file").alias("map_id"), F.col("ord").cast("int").alias("ord"), "container", "target", "level")
+
+
 def xml_topics(spark: SparkSession, d: str) -> DataFrame:
     """What the XML reader makes of all topics, written as XML by a column expression."""
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+    esc = _escaped
     body = F.create_map(*[F.lit(x) for kv in xml_parse.BODY.items() for x in kv])[F.col("topic_type")]
     controls = F.array_join(F.transform("uicontrols", lambda x: F.concat(F.lit(" <uicontrol>"), esc(x), F.lit("</uicontrol>"))), "")
     tag = lambda name, c: F.concat(F.lit("<"), name, F.lit(">"), c, F.lit("</"), name, F.lit(">"))
@@ -402,6 +419,7 @@ QUERIES = {
     "graph_edge_lines": graph_edge_lines,
     "edges_into_targets": edges_into_targets,
     "xml_topics": xml_topics,
+    "xml_maps": xml_maps,
     "generated_from": generated_from,
     "canonical_body": canonical_body,
     "text_chunks": text_chunks,

@@ -127,18 +127,25 @@ def parse_topics(files: DataFrame) -> DataFrame:
 MAP_ROWS = "row string, id string, title string, source_file string, kind string, container string, target string, level int, keys array<string>, ord long"
 
 
-def read_map(spark: SparkSession, job_dir: str, path: str) -> DataFrame:
+def parse_maps(files: DataFrame) -> DataFrame:
+    """Records of map files (path, xml): a row for the map, then one for each reference."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for xml in b["xml"]:
+            for path, xml in zip(b["path"], b["xml"]):
                 m, rows = xml_parse.parse_map(path, xml)
                 none = {"kind": None, "container": None, "target": None, "level": 0, "keys": []}
                 out = [{"row": "map", **m, **none, "ord": -1}]
                 out += [{"row": "ref", "id": None, "title": None, "source_file": path, **r, "ord": i} for i, r in enumerate(rows)]
                 yield pd.DataFrame(out)
 
+    ship(files.sparkSession)
+    return files.select("path", "xml").mapInPandas(run, MAP_ROWS)
+
+
+def read_map(spark: SparkSession, job_dir: str, path: str) -> DataFrame:
     one = spark.createDataFrame([(0, path)], "ord long, path string")
-    return _contents(spark, job_dir, one).mapInPandas(run, MAP_ROWS)
+    return parse_maps(_contents(spark, job_dir, one))
 
 
 def extract(spark: SparkSession, job_dir: str, depth: int | None = None, include_drafts: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

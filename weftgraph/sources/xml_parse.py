@@ -66,8 +66,15 @@ def parse_topic(path: str, xml: bytes, sources: dict[str, str]) -> dict:
     text, foreign, controls, in_cmd = [], [], [], []
     links: dict[str, list[tuple[str, str]]] = {"xref": [], "link": []}
 
-    # one walk in document order; a frame is an element with what it inherits
-    def visit(el, inside: bool, silent: bool, cmd: bool) -> None:
+    # one walk in document order, on a stack of its own so that no depth of nesting is too much; an
+    # element stands there with what it inherits, the text behind it as a string
+    todo: list = [(root, False, False, False)]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            text.append(item)
+            continue
+        el, inside, silent, cmd = item
         inside = inside or el is body_root
         origin = sources.get(el.get("xtrf") or "")
         if origin and origin != path:
@@ -85,15 +92,15 @@ def parse_topic(path: str, xml: bytes, sources: dict[str, str]) -> dict:
             target = href.split("#", 1)[0]
             if target and not is_external(href, el.get("scope")):
                 links[el.tag].append(("requires" if el.get("keyref") else "references", resolve_path(path, target)))
-        if inside and not silent and el.text:
+        heard = inside and not silent
+        if heard and el.text:
             text.append(el.text)
-        for child in el:
+        for child in reversed(el):
+            if heard and child.tail:
+                todo.append(child.tail)
             if child.tag != "related-links":
-                visit(child, inside, silent, cmd)
-            if inside and not silent and child.tail:
-                text.append(child.tail)
+                todo.append((child, inside, silent, cmd))
 
-    visit(root, False, False, False)
     own = root.get("id") or stem(path)
     short = root.find("shortdesc")
     shortdesc = "".join(short.itertext()).strip(_SPACE) if short is not None else ""
