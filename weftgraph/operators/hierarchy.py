@@ -32,6 +32,7 @@ from ..files import exists
 from ..session import cut, cut_path, write_cut
 
 STEPS = 8  # rounds or steps that one job takes at most
+MERGE = 4  # steps after which rows that met are made one
 LOCAL = 20_000  # edges that one task may hold
 
 
@@ -302,7 +303,7 @@ def _hand_on(spark: SparkSession, start: DataFrame, bands: list[tuple[int, int]]
             inside = w.where(F.col("band") == band).select("here", "there", "len")
             inside = inside.unionByName(inside.select("here", F.col("here").alias("there"), F.lit(0).alias("len")).distinct())
             for k in range(rounds - 1):
-                here = _step(_least(here, paths) if k % 2 == 0 else here, inside, paths)
+                here = _step(_least(here, paths) if k % MERGE == 0 else here, inside, paths)
         out = _least(here, paths).join(w, F.col("node") == F.col("here"))
         cols = [F.col("tag"), F.col("there").alias("node"), (F.col("dist") + 1).cast("int").alias("dist")]
         if paths:
@@ -407,7 +408,7 @@ def _walk(edges: DataFrame, starts: DataFrame, paths: bool) -> DataFrame:
         d += STEPS
         for k in range(STEPS):
             front = _step(front, ways, paths)
-            if k % 2:
+            if k % MERGE == MERGE - 1:
                 front = _least(front, paths)
         front = front.join(_all(spark, tables, schema).select("tag", "node"), ["tag", "node"], "left_anti")
         path, seen = _counted(front.select(*cols), n=F.count_if(F.col("dist") == d))
@@ -430,7 +431,7 @@ def _components(edges: DataFrame) -> DataFrame:
             last = mark
             for k in range(STEPS):
                 color = color.join(ways, color.node == ways.here).select(F.col("there").alias("node"), "color")
-                if k % 2:
+                if k % MERGE == MERGE - 1:
                     color = color.groupBy("node").agg(F.min("color").alias("color"))
             path, seen = _counted(color, mark=F.sum(F.xxhash64("node", "color").cast("decimal(38,0)")))
             mark, color = seen["mark"], _all(spark, [path], "node string, color string")
